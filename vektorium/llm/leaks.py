@@ -28,8 +28,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from vektorium.llm.hashing import mix, powers
+
 RUN, SPAN, WITHIN, SHARE = 12, 30, 40, 0.85
 NEEDED = math.ceil(SPAN * SHARE)
 SEEDS = 7
@@ -47,18 +50,6 @@ for _c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _LOWER[_c] = _c + 32
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
 
 def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of UTF-8 bytes: each word's 64-bit hash, its first byte, and whether it is a number."""
@@ -70,21 +61,14 @@ def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             a, b = words_of(raw[:cut]), words_of(raw[cut:])
             return np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1] + cut]), np.concatenate([a[2], b[2]])
     n = len(raw)
-    size = 1 << max(16, n.bit_length())
-    if size not in _POWERS:
-        _POWERS.clear()
-        _POWERS[size] = (_powers(_BASE, size), _powers(_INVERSE, size))
-    up, down = _POWERS[size]
+    up, down = powers(n)
     low = _LOWER[raw]
     inside = low != 0
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     first, last = edge[::2], edge[1::2]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(low * up[:n], out=total[1:])
-    h = (total[last] - total[first]) * down[first]
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    h = mix((total[last] - total[first]) * down[first])
     digits = np.zeros(n + 1, np.int32)
     np.cumsum(_DIGIT[raw], out=digits[1:])
     return h, first, digits[last] - digits[first] == last - first
@@ -304,7 +288,7 @@ def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     text = batch.column(1)
     text = text.cast(pa.large_string()) if not pa.types.is_large_string(text.type) else text
     if text.null_count:
-        text = pa.compute.fill_null(text, "")
+        text = pc.fill_null(text, "")
     off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     raw = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
     return raw[off[0] : off[-1]], off - off[0]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vektorium.llm import leaks
-from vektorium.sources.tables import read
+from vektorium.llm import leaks, mixing
+from vektorium.sources.tables import read, stored
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,5 +23,30 @@ def p6_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(p6_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n")), "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_reparameterised, p6_by_item)}
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, mixing.Budget]]:
+    targets = read(spark, sf_dir, "mixture_targets").where("source IS NOT NULL")
+    docs = read(spark, sf_dir, "documents").where(F.col("source").isNotNull()).select("doc_id", mixing.source_name(F.col("source")).alias("source"), "text")
+    sized = stored(mixing.with_tokens(docs, ["doc_id", "source"], "text"), "tokens")
+    wanted = {r["source"]: (r["target_weight"] or 0.0, r["max_repeats"] or 0) for r in targets.limit(mixing.MAX_SOURCES).collect()}
+    return sized, mixing.plan(mixing.available_tokens(sized, targets), wanted)
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each copy drawn, in the order of ``mix_key``."""
+    sized, budgets = _mixture(spark, sf_dir)
+    return mixing.draw(sized, budgets)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every listed source."""
+    sized, budgets = _mixture(spark, sf_dir)
+    drawn = mixing.draw(sized, budgets).groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows"), F.max("block").alias("passes"))
+    total = drawn.agg(F.sum("n_tokens").alias("_total"))  # one row
+    goal = spark.createDataFrame([(s, b.target, b.max_repeats, b.available) for s, b in budgets.items()], "source string, target_weight double, max_repeats int, available_tokens long")
+    out = goal.join(drawn, "source", "left").crossJoin(F.broadcast(total))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select("source", "target_weight", "max_repeats", "available_tokens", zero("n_tokens"), zero("n_rows"), zero("passes"), F.coalesce(F.col("n_tokens") / F.col("_total"), F.lit(0.0)).alias("actual_share"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_reparameterised, p6_by_item, p7_mixture, p7_shares)}
 SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vektorium.llm import leaks, mixing
+from vektorium.llm import leaks, mixing, pii
 from vektorium.sources.tables import read, stored
 
 
@@ -48,5 +48,14 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", "target_weight", "max_repeats", "available_tokens", zero("n_tokens"), zero("n_rows"), zero("passes"), F.coalesce(F.col("n_tokens") / F.col("_total"), F.lit(0.0)).alias("actual_share"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_reparameterised, p6_by_item, p7_mixture, p7_shares)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read(spark, sf_dir, "documents"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with placeholders in place of what was found."""
+    return pii.redact(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_reparameterised, p6_by_item, p7_mixture, p7_shares, p8_found, p8_redacted)}
 SQL: dict[str, str] = {}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vektorium.llm import text_queries, value_queries
+from vektorium.llm import text_queries, value_queries, vector_queries
 
-_MODULES = (value_queries, text_queries)
+_MODULES = (vector_queries, value_queries, text_queries)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

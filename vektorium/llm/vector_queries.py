@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vektorium.llm import neighbours, postings, vectors
+from vektorium.llm import grouping, neighbours, postings, vectors
 from vektorium.sources.tables import read, stored
 
 K, FOUND = 5, 0.975
@@ -19,6 +19,21 @@ def _indexed(live: DataFrame) -> tuple[postings.Lists, DataFrame]:
     return lists, stored(postings.index(vectors.copy_classes(live), lists), "index")
 
 
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = _live(spark, sf_dir)
+    lists, index = _indexed(live)
+    return grouping.members_of(grouping.groups(live, index, lists), live, index)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grouped(spark, sf_dir).select("id", "group_id")
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every group with its size and its five most typical ids."""
+    return grouping.typical(_grouped(spark, sf_dir), 5)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = _live(spark, sf_dir)
     _, index = _indexed(live)
@@ -34,5 +49,5 @@ def p5_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours_of(queries, live, index, lists, K).select("id_a", "id_b", F.round("sim", 4).alias("sim"), "rank")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_queries)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_queries)}
 SQL: dict[str, str] = {}

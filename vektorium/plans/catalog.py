@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from vektorium.plans import change_queries
+from vektorium.plans import change_queries, core_queries
 
-FLAGSHIP = "p2_found"
+FLAGSHIP = "knn_l2"
 
-QUERIES = {**change_queries.QUERIES}
-SQL = {**change_queries.SQL}
+QUERIES = {**core_queries.QUERIES, **change_queries.QUERIES}
+SQL = {**core_queries.SQL, **change_queries.SQL}

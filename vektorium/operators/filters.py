@@ -54,7 +54,12 @@ def _eq(c: Column, t: T.DataType, value: Any) -> Column:
 
 
 def lower(schema: T.StructType, f: Filter) -> Column:
-    """The predicate over a column of ``schema``; a field that isn't there is missing in every row."""
+    """The predicate over a column of ``schema``, never null; a field that isn't there is missing in every row."""
+    return F.coalesce(_condition(schema, f), F.lit(False))
+
+
+def _condition(schema: T.StructType, f: Filter) -> Column:
+    """The predicate, true exactly where ``lower`` is (else false or null): plain enough for the scan to push down."""
     if f.field not in schema.fieldNames():
         return F.lit(False)
     c, t = F.col(f"`{f.field}`"), schema[f.field].dataType
@@ -73,7 +78,7 @@ def lower(schema: T.StructType, f: Filter) -> Column:
             p = _not_nan(c, t) & {"gt": c > F.lit(f.value), "gte": c >= F.lit(f.value), "lt": c < F.lit(f.value), "lte": c <= F.lit(f.value)}[f.op]
         elif f.op in ("gte", "lte"):
             p = _eq(c, t, f.value)
-    return F.coalesce(c.isNotNull() & p, F.lit(False))
+    return c.isNotNull() & p
 
 
 def _plain(t: T.DataType, values: Sequence[Any]) -> bool:
@@ -83,7 +88,7 @@ def _plain(t: T.DataType, values: Sequence[Any]) -> bool:
 def apply(df: DataFrame, filters: Sequence[Filter]) -> DataFrame:
     """Rows that satisfy all filters; no filters, all rows. Simple comparisons reach the parquet scan."""
     for f in filters:
-        df = df.where(lower(df.schema, f))
+        df = df.where(_condition(df.schema, f))
     return df
 
 

@@ -35,6 +35,7 @@ from vektorium.llm.hashing import range_hashes
 
 BUCKETS = 4096
 MAX_SOURCES = 100_000
+MAX_BROADCAST_SOURCES = 64
 CHUNK = 1 << 22
 
 #: Distinct stretches a worker remembers before it starts afresh.
@@ -249,7 +250,8 @@ def draw(sized: DataFrame, budgets: Mapping[str, Budget], seed: int = 7) -> Data
     up = W.partitionBy("source").orderBy("_hb")
     ranges = docs.groupBy("source", "_hb").agg(F.sum("n_tokens").alias("_sum"))
     ranges = ranges.select("source", "_hb", "_sum", (F.sum("_sum").over(up) - F.col("_sum")).alias("_before"))
-    docs = docs.join(F.broadcast(ranges), ["source", "_hb"])  # at most BUCKETS rows a source
+    # at most BUCKETS rows a source: broadcast for few sources, else left to the planner
+    docs = docs.join(F.broadcast(ranges) if len(rows) <= MAX_BROADCAST_SOURCES else ranges, ["source", "_hb"])
     whole = F.col("_before") + F.col("_sum") <= F.col("rest")
     cut = ~whole & (F.col("_before") < F.col("rest"))
     cols = ["source", "doc_id", "n_tokens", "blocks", "passes"]

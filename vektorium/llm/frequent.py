@@ -94,9 +94,9 @@ def decode(sketch: DataFrame, share: float) -> DataFrame:
     (the smallest counter among its set bits and, for unset bits, total minus counter), so it never
     lies below the true count in a row where it dominates.
     """
-    n = sketch.groupBy("grp", "row").agg(F.sum("total").alias("n"))
-    n = n.groupBy("grp").agg(F.max("n").alias("n"))
-    heavy = sketch.join(F.broadcast(n), "grp").where(F.col("total") >= F.lit(share) * F.col("n"))  # n: one row a group
+    # every value falls into one bucket of each row, so any row sums to the group's count
+    rows = sketch.withColumn("n", F.sum("total").over(W.partitionBy("grp", "row")))
+    heavy = rows.where(F.col("total") >= F.lit(share) * F.col("n"))
     fingerprint = F.lit(0).cast("long")
     for j in range(64):
         fingerprint = fingerprint.bitwiseOR(F.when(F.col("bits")[j] * 2 > F.col("total"), F.lit((1 << j) if j < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))

@@ -63,6 +63,36 @@ def rabitq_distance(hamming: Column, norm_a: Column, norm_b: Column, dim: int) -
     return (norm_a - norm_b) * (norm_a - norm_b) + 4 * norm_a * norm_b * hamming / dim
 
 
+def sign_bound(words: Column, norm: Column, query: Sequence[float]) -> Column:
+    """The least squared distance to ``query`` of any vector with these sign bits and this norm.
+
+    Its dot product with the query is at most ``norm`` times the norm of the query over the dimensions where signs agree.
+    """
+    bit = lambda i: F.call_function("shiftright", F.get(words, (i / 64).cast("int")), i % 64).bitwiseAND(F.lit(1).cast("long"))
+    agree = F.aggregate(F.transform(V.literal(query), lambda y, i: F.when((y >= 0).cast("long") == bit(i), y * y).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
+    return norm * norm + float(np.dot(query, query)) - 2 * norm * F.sqrt(agree)
+
+
+def rabitq_search(df: DataFrame, query: Sequence[float], k: int, refine: int, id_col: str, vec_col: str) -> DataFrame:
+    """``id, score, rank``: the exact ``k`` nearest, whatever the table's size.
+
+    The best ``k * refine`` by sign bits and norms, scored exactly, bound the k-th distance; then every row that
+    ``sign_bound`` does not put beyond it is scored exactly.
+    """
+    from vektorium.operators.search import knn, rerank
+
+    dim, q = len(query), np.array(query, np.float64)
+    one = V.literal(query)
+    code = df.where(V.valid(F.col(vec_col), dim)).withColumn("_w", V.sign_words(F.col(vec_col), dim=dim)).withColumn("_n", V.norm(F.col(vec_col)))
+    approx = rabitq_distance(V.hamming(F.col("_w"), V.sign_words(one, dim=dim)), F.col("_n"), F.lit(float(np.sqrt(q @ q))), dim)
+    near = code.select(id_col, approx.alias("_a")).orderBy("_a", id_col).limit(k * refine)
+    worst = rerank(near, df, query, k, V.L2, id_col, vec_col).agg(F.max("score")).first()[0]
+    if worst is None:
+        return knn(df, query, k, V.L2, id_col, vec_col)
+    slack = 1e-9 * (F.col("_n") * F.col("_n") + float(q @ q))  # rounding never loses a row
+    return knn(code.where(sign_bound(F.col("_w"), F.col("_n"), query) <= F.lit(worst) + slack), query, k, V.L2, id_col, vec_col)
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 20, seed: int = 3) -> np.ndarray:
     """Centroids with k-means++ starts, seeded; an empty cluster takes the row farthest from its centroid."""
     rng = np.random.default_rng(seed)

@@ -443,6 +443,12 @@ def rabitq_search(spark, d):
     return search.rerank(near, e, q, K, V.L2, "vec_id", "embedding")
 
 
+@query(SQL["knn_l2"])
+def rabitq_search_exact(spark, d):
+    """No fixed number of candidates: every row whose sign bits leave it a chance is scored exactly."""
+    return quantize.rabitq_search(_emb(spark, d), _vector(spark, d), K, 10, "vec_id", "embedding")
+
+
 def _label_centroids(spark, d):
     return stats.centroids(_emb(spark, d), "label", "embedding", DIM).select(F.col("label").cast("long").alias("cluster"), F.transform("centroid", lambda x: F.round(x, 9)).alias("centroid"))
 

@@ -30,3 +30,8 @@ def test_sign_bound_prunes_only_what_is_farther(spark):
     assert (got[:, 0] > np.sort(got[:, 1])[9]).any()
     want = np.argsort(((x - q) ** 2).sum(1))[:10].tolist()
     assert [b.id for b in quantize.rabitq_search(df, q.tolist(), 10, 1, "id", "v").orderBy("rank").collect()] == want
+
+
+def test_fitted_partitions_reach_their_recall(spark):
+    got = entry.queries()["ivf_recall"](spark, LARGE).first()
+    assert got.partitions == 45 and got.probes < got.partitions and got.recall >= 0.9

@@ -53,6 +53,27 @@ def probe(cents: DataFrame, query: Sequence[float], n: int = 1) -> list:
     return [r["cluster"] for r in cents.select("cluster", d.alias("d")).orderBy("d", "cluster").limit(n).collect()]
 
 
+def probes_for(assigned: DataFrame, cents: DataFrame, queries: DataFrame, k: int, dim: int, recall: float, id_col: str = "id", vec_col: str = "vector") -> tuple[int, float]:
+    """The least number of probes at which ``queries`` (id, vector) find ``recall`` of their true ``k`` nearest, and the recall it gives.
+
+    The truth is the exact search of all rows; at most one count a cluster reaches the driver.
+    """
+    from vektorium.operators.search import knn_batch
+
+    truth = knn_batch(assigned, queries, k, dim, V.L2, id_col, vec_col).select("query_id", F.col("id").alias("_id"))
+    one = _bounded(cents).agg(F.collect_list(F.struct("cluster", "centroid")).alias("_c"))
+    i, v = (F.col(c) for c in queries.columns[:2])
+    near = F.array_sort(F.transform("_c", lambda c: F.struct(V.squared_l2(v, c["centroid"]).alias("d"), c["cluster"].alias("cluster"))))
+    order = queries.crossJoin(F.broadcast(one)).select(i.alias("query_id"), F.transform(near, lambda c: c["cluster"]).alias("_order"))
+    at = truth.join(assigned.select(F.col(id_col).alias("_id"), "cluster"), "_id").join(order, "query_id").select(F.expr("array_position(_order, cluster)").alias("at"))
+    n = {r["at"]: r["n"] for r in at.groupBy("at").agg(F.count("*").alias("n")).collect()}
+    total, found, p = sum(n.values()), 0, 0
+    while p == 0 or (found < recall * total and p < MAX_CLUSTERS):
+        p += 1
+        found += n.get(p, 0)
+    return p, found / total if total else 1.0
+
+
 def search(assigned: DataFrame, cents: DataFrame, query: Sequence[float], k: int, probes: int = 1, id_col: str = "id", vec_col: str = "vector") -> DataFrame:
     """Search the probed clusters only. On a table partitioned by ``cluster`` the filter prunes its files."""
     from vektorium.operators.search import knn

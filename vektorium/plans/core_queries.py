@@ -10,7 +10,7 @@ from vektorium.functions import vector as V
 from vektorium.operators import filters as FL
 from vektorium.operators import fusion, ivf, lexical, policies, quantize, search, stats, versions
 from vektorium.operators.filters import Filter
-from vektorium.sources.tables import read
+from vektorium.sources.tables import read, stored
 from vektorium.streaming import ingest
 
 DIM, K = 64, 10
@@ -467,6 +467,28 @@ def ivf_probe(spark, d):
     return ivf.search(ivf.assign(_emb(spark, d), cents, "embedding", DIM), cents, _vector(spark, d), K, 3, "vec_id", "embedding")
 
 
+def _fitted(spark, d) -> tuple[DataFrame, DataFrame, int, float]:
+    """Rows assigned to about sqrt(n) partitions fitted to all rows, centroids, probes and the recall they give over the vec_ids divisible by 100."""
+    e = _emb(spark, d)
+    cents = ivf.fit(e, "embedding", DIM, max(1, min(ivf.MAX_CLUSTERS, round(e.count() ** 0.5))), id_col="vec_id")
+    rows = stored(ivf.assign(e, cents, "embedding", DIM).select("vec_id", "embedding", "cluster"), "partitions")
+    return rows, cents, *ivf.probes_for(rows, cents, e.where("vec_id % 100 = 0").select("vec_id", "embedding"), K, DIM, 0.9, "vec_id", "embedding")
+
+
+@query()
+def ivf_probe_fitted(spark, d):
+    """As many partitions of k-means as give a recall of 0.9."""
+    rows, cents, probes, _ = _fitted(spark, d)
+    return ivf.search(rows, cents, _vector(spark, d), K, probes, "vec_id", "embedding")
+
+
+@query()
+def ivf_recall(spark, d):
+    """Probes of ``ivf_probe_fitted``, the partitions there are, and the recall against the exact search."""
+    _, cents, probes, recall = _fitted(spark, d)
+    return spark.createDataFrame([(cents.count(), probes, recall)], "partitions long, probes long, recall double")
+
+
 @query()
 def pq_search(spark, d):
     e = _emb(spark, d)

@@ -137,6 +137,20 @@ class Lists:
         return out
 
 
+def _route_wide(batches: Iterator[pa.RecordBatch], lists: Lists, replicate: float, most: int, visits: int, dim: int) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x, asks = array_to_codes(b.column(2), dim), b.column(3).to_numpy(zero_copy_only=False).astype(bool)
+        kept = np.concatenate([np.zeros((0, most), np.int32), *(lists.assign(*lists.nearest(x[lo : lo + 4096], 2 * most), replicate, most, True) for lo in range(0, len(x), 4096))])
+        m = min(visits, len(lists.centroids))
+        seen = np.full((len(x), m), -1, np.int32)
+        rows = np.flatnonzero(asks)
+        for lo in range(0, len(rows), 1024):
+            r = rows[lo : lo + 1024]
+            seen[r] = np.argpartition(-(x[r] @ lists.centroids.T), m - 1, axis=1)[:, :m]
+        cols = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((a >= 0).sum(1))]).astype(np.int32)), pa.array(a[a >= 0].astype(np.int32))) for a in (kept, seen)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], names=["rep", "n", "code", "lists", "visits"])
+
+
 def _route(batches: Iterator[pa.RecordBatch], lists: Lists, replicate: float, most: int, search: float, visits: int, dim: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = array_to_codes(b.column(2), dim)
@@ -163,3 +177,15 @@ def index(classes: DataFrame, lists: Lists, replicate: float = 0.12, most: int =
     """``rep, n, code, lists, visits``: where each row is kept, and which lists a search for it visits."""
     held = classes.sparkSession.sparkContext.broadcast(lists)
     return classes.select("rep", "n", "code").mapInArrow(lambda it: _route(it, held.value, replicate, most, search, visits, dim), "rep long, n long, code binary, lists array<int>, visits array<int>")
+
+
+def wide_index(classes: DataFrame, lists: Lists, asked: DataFrame | None = None, replicate: float = 0.2, most: int = 5, share: float = 1 / 12, least: int = 14, dim: int = DIM) -> DataFrame:
+    """As ``index``, for searches without a threshold: each class visits the nearest ``share`` of all lists, at least ``least``.
+
+    The visits are found by comparison with every centroid, and their number grows with the lists, as a fixed number would
+    lose ever more. ``asked``: ``code`` of the records that search; without it all do.
+    """
+    held = classes.sparkSession.sparkContext.broadcast(lists)
+    rows = classes.select("rep", "n", "code", F.lit(True).alias("asks")) if asked is None else classes.join(asked.select("code").distinct().withColumn("_asks", F.lit(True)), "code", "left").select("rep", "n", "code", F.coalesce("_asks", F.lit(False)).alias("asks"))
+    visits = max(least, math.ceil(share * len(lists.centroids)))
+    return rows.mapInArrow(lambda it: _route_wide(it, held.value, replicate, most, visits, dim), "rep long, n long, code binary, lists array<int>, visits array<int>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vektorium.llm import grouping, neighbours, postings, vectors
 from vektorium.sources.tables import read, stored
@@ -41,13 +41,27 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
+def _nearest(live: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """``id_a, id_b, sim, rank``: the 5 nearest of the queries (all live records if there are none) without a threshold."""
+    lists = postings.build(live)
+    index = stored(postings.wide_index(vectors.copy_classes(live), lists, queries), "index")
+    near = neighbours.all_neighbours(live, index, K)
+    if queries is not None:  # copies of a query are found with it
+        near = near.join(queries.select(F.col("id").alias("id_a")), "id_a", "left_semi")
+    w = Window.partitionBy("id_a").orderBy(F.col("sim").desc(), "id_b")
+    return near.select("id_a", "id_b", F.round("sim", 4).alias("sim"), F.row_number().over(w).alias("rank"))
+
+
 def p5_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest of every live record whose id is divisible by 100, among all live records."""
     live = _live(spark, sf_dir)
-    lists, index = _indexed(live)
-    queries = live.where("id % 100 = 0")
-    return neighbours.neighbours_of(queries, live, index, lists, K).select("id_a", "id_b", F.round("sim", 4).alias("sim"), "rank")
+    return _nearest(live, live.where("id % 100 = 0"))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every live record, by the same search as ``p5_queries``."""
+    return _nearest(_live(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_queries)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p5_found, p5_queries, p5_neighbours)}
 SQL: dict[str, str] = {}

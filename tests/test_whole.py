@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from vektorium.llm import vectors
+from vektorium.llm import mixing, vectors
 from vektorium.operators import quantize, search
 from vektorium.sources.tables import read
 
@@ -52,3 +52,22 @@ def test_neighbours_without_a_threshold(spark):
         true = sum(s[row[a], row[b]] >= fifth[a] - 1e-6 for a, b in zip(got.id_a.tolist(), got.id_b.tolist()))
         print(name, true / (5 * len(asked)), len(got))
         assert got.groupby("id_a").size().max() == 5 and true >= 0.9 * 5 * len(asked)
+
+
+def test_a_small_source_does_not_shrink_the_mixture(spark, tmp_path):
+    docs = [(i, ("big", "Large")[i % 2], "some words to count here " * 40) for i in range(200)] + [(900, "tiny", "a few words only")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.6, 4), ("large", 0.3, 4), ("tiny", 0.1, 4)], "source string, target_weight double, max_repeats int").write.parquet(f"{tmp_path}/mixture_targets.parquet")
+    got = {r.source: r for r in entry.queries()["p7_shares"](spark, str(tmp_path)).collect()}
+    have, drawn = (sum(r[c] for r in got.values()) for c in ("available_tokens", "n_tokens"))
+    assert drawn >= 0.98 * have and max(r.passes for r in got.values()) <= 4
+    assert got["tiny"].passes == 4 and got["big"].n_tokens > got["large"].n_tokens
+
+
+def test_the_exponent_is_bisected():
+    available, targets = {"a": 1000, "b": 1000, "c": 10}, {"a": (0.6, 2), "b": (0.3, 2), "c": (0.1, 4)}
+    total = mixing.whole_total(available, targets)
+    plan = mixing.plan(available, targets, total)
+    assert total == 2010 and abs(sum(b.budget for b in plan.values()) - total) < 1e-3
+    assert abs(plan["c"].budget - 40) < 1e-3 and 0.5 < plan["a"].weight < 0.6
+    assert mixing.whole_total({}, targets) is None and mixing.whole_total({"a": 10, "b": 10}, {"a": (0.5, 3), "b": (0.5, 3)}) == 60

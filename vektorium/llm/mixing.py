@@ -209,6 +209,16 @@ def plan(available: Mapping[str, int], targets: Mapping[str, tuple[float, int]],
     return {s: Budget(live.get(s, 0), t, (budget.get(s, 0.0) / total), budget.get(s, 0.0), r) for s, (t, r) in targets.items()}
 
 
+def whole_total(available: Mapping[str, int], targets: Mapping[str, tuple[float, int]]) -> float | None:
+    """What the listed sources have together, or the largest total at which the targets hold exactly if that is more.
+
+    So a small source with a large target never shrinks the mixture: the exponent gives way instead. None without sources.
+    """
+    live = {s: a for s, a in available.items() if a > 0 and targets.get(s, (0, 0))[0] > 0 and targets[s][1] > 0}
+    goal = sum(targets[s][0] for s in live)
+    return max(float(sum(live.values())), min(a * targets[s][1] * goal / targets[s][0] for s, a in live.items())) if live else None
+
+
 def entropy_weights(available: Mapping[str, int], entropy: float) -> dict[str, float]:
     """Weights ``share ** t`` with t bisected so that their entropy (in bits) is ``entropy``."""
     live = {s: a for s, a in available.items() if a > 0}

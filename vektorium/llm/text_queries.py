@@ -28,7 +28,8 @@ def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, mix
     docs = read(spark, sf_dir, "documents").where(F.col("source").isNotNull()).select("doc_id", mixing.source_name(F.col("source")).alias("source"), "text")
     sized = stored(mixing.with_tokens(docs, ["doc_id", "source"], "text"), "tokens")
     wanted = {r["source"]: (r["target_weight"] or 0.0, r["max_repeats"] or 0) for r in targets.limit(mixing.MAX_SOURCES).collect()}
-    return sized, mixing.plan(mixing.available_tokens(sized, targets), wanted)
+    available = mixing.available_tokens(sized, targets)
+    return sized, mixing.plan(available, wanted, mixing.whole_total(available, wanted))
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -71,3 +73,17 @@ def test_the_exponent_is_bisected():
     assert total == 2010 and abs(sum(b.budget for b in plan.values()) - total) < 1e-3
     assert abs(plan["c"].budget - 40) < 1e-3 and 0.5 < plan["a"].weight < 0.6
     assert mixing.whole_total({}, targets) is None and mixing.whole_total({"a": 10, "b": 10}, {"a": (0.5, 3), "b": (0.5, 3)}) == 60
+
+
+@pytest.mark.parametrize("name", ["recall_at_k_all", "knn_filtered_multi_all"])
+def test_no_id_prefix(spark, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{LARGE}/embeddings.parquet')")
+    cur = con.execute(entry.oracle_sql()[name])
+    cols = [c[0] for c in cur.description]
+    want = sorted(map(tuple, cur.fetchall()))
+    got = sorted(map(tuple, entry.queries()[name](spark, LARGE).select(*cols).collect()))
+    assert got == want and len(got) == (20 if name == "recall_at_k_all" else 10)
+    assert max(r[cols.index("query_id" if "query_id" in cols else "vec_id")] for r in got) > 400
+    if name == "recall_at_k_all":
+        print("mean recall", sum(r[1] for r in got) / len(got))

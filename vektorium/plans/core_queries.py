@@ -108,6 +108,12 @@ def knn_filtered_multi(spark, d):
     return _knn(spark, d, V.DOT, filters=[Filter("label", "gt", 1), Filter("label", "ne", 5), Filter("vec_id", "lte", 400)])
 
 
+@query(SQL["knn_filtered_multi"].replace(" AND vec_id <= 400", ""))
+def knn_filtered_multi_all(spark, d):
+    """Two metadata filters over the whole table."""
+    return _knn(spark, d, V.DOT, filters=[Filter("label", "gt", 1), Filter("label", "ne", 5)])
+
+
 @query(_knn_sql(L2SQL, "ASC", k=50, outer="score <= 1.2"))
 def knn_threshold_l2(spark, d):
     return search.knn_threshold(_emb(spark, d), _vector(spark, d), 1.2, 50, V.L2, id_col="vec_id", vec_col="embedding")
@@ -152,13 +158,23 @@ def knn_hamming_bq(spark, d):
 @query(f"WITH t AS (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_l2('e.embedding', 'q.embedding')}, e.vec_id) AS r, row_number() OVER (PARTITION BY q.vec_id, e.label = q.label ORDER BY {_l2('e.embedding', 'q.embedding')}, e.vec_id) AS rl, e.label = q.label AS same FROM embeddings q, embeddings e WHERE q.vec_id < 20) SELECT query_id, sum(CASE WHEN r <= 10 AND same AND rl <= 10 THEN 1 ELSE 0 END) / 10.0::DOUBLE AS recall FROM t GROUP BY query_id")
 def recall_at_k(spark, d):
     """Recall of searching only the query's own label, against the exact search."""
+    return _label_recall(spark, d, "vec_id < 20")
+
+
+@query(SQL["recall_at_k"].replace("q.vec_id < 20", "q.vec_id % 100 = 0"))
+def recall_at_k_all(spark, d):
+    """The same for every vec_id divisible by 100, however many there are."""
+    return _label_recall(spark, d, "vec_id % 100 = 0")
+
+
+def _label_recall(spark, d, which: str) -> DataFrame:
     e = _emb(spark, d)
-    qs = e.where("vec_id < 20").select("vec_id", "embedding")
+    qs = e.where(which).select("vec_id", "embedding")
     truth = search.knn_batch(e, qs, K, DIM, V.L2, "vec_id", "embedding")
     from pyspark.sql import Window as W
 
     q = qs.join(e.select("vec_id", "label"), "vec_id").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"), "label")
-    near = e.join(F.broadcast(q), "label").select("query_id", F.col("vec_id").alias("id"), V.squared_l2(F.col("embedding"), F.col("qv")).alias("s"))  # 20 queries
+    near = e.join(q, "label").select("query_id", F.col("vec_id").alias("id"), V.squared_l2(F.col("embedding"), F.col("qv")).alias("s"))
     found = near.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("s", "id"))).where("r <= 10")
     return search.recall(found, truth, K)
 

@@ -1,10 +1,11 @@
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from vektorium.llm import mixing, vectors
+from vektorium.llm import leaks, mixing, vectors
 from vektorium.operators import quantize, search
 from vektorium.sources.tables import read
 
@@ -87,3 +88,35 @@ def test_no_id_prefix(spark, name):
     assert max(r[cols.index("query_id" if "query_id" in cols else "vec_id")] for r in got) > 400
     if name == "recall_at_k_all":
         print("mean recall", sum(r[1] for r in got) / len(got))
+
+
+def _reparameterised(items, docs):
+    held = leaks.build_items(items)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs)], names=["doc_id", "text"])
+    return {(i, d) for x in leaks.find_reparameterised(iter([batch]), held) for i, d in zip(x["item_id"].to_pylist(), x["doc_id"].to_pylist())}
+
+
+def test_reparameterised_with_fillers_of_other_lengths():
+    text = "first we take the list of all {a} rows and sort it by the time of each call then for {b} we keep at most {n} of them and add what is left to the sum"
+    others = [(i, None, text.format(a=f"alpha{i}", b=f"beta{i}", n=i)) for i in range(2, 6)]
+    items = [(1, None, text.format(a="ledger", b="walrus", n="3")), *others]
+    docs = [
+        "zz yy xx " + text.format(a="a.b", b="c.d.e", n="3.5"),
+        text.format(a="one", b="two", n="9"),
+        text.format(a="same", b="same", n="9"),
+        "take the list of all pear rows and sort it by the time of each call",
+        "nothing of the kind stands here " * 9,
+    ]
+    assert {d for i, d in _reparameterised(items, docs) if i == 1} == {0, 1, 3}
+
+
+def test_chains_are_ordered():
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        pts = np.unique(np.stack([r.integers(0, 60, 40), r.integers(0, 60, 40)], 1), axis=0)
+        pts = pts[np.lexsort((pts[:, 0], pts[:, 0] - pts[:, 1]))]
+        got = leaks._chains(pts[:, 0], pts[:, 1])
+        for n, runs in got:
+            assert n >= leaks.COARSE_HITS
+            for (_, _, s1, p1), (s0, p0, _, _) in zip(runs, runs[1:]):
+                assert 1 <= s0 - s1 - leaks.COARSE <= 2 * leaks.COARSE and 1 <= p0 - p1 - leaks.COARSE <= 2 * leaks.COARSE

@@ -37,7 +37,9 @@ RUN, SPAN, WITHIN, SHARE = 12, 30, 40, 0.85
 NEEDED = math.ceil(SPAN * SHARE)
 SEEDS = 7
 DRIFT = (SPAN - NEEDED) + (WITHIN - NEEDED)
-COARSE, COARSE_LITERALS, COARSE_SHARED, COARSE_HITS = 8, 4, 4, 20
+COARSE, COARSE_LITERALS, COARSE_SHARED = 8, 4, 4
+#: Joined windows that 12 successive words of an item give.
+COARSE_HITS = RUN - COARSE + 1
 MAX_ITEM_WORDS = 2_000_000
 #: Bytes hashed at a time; longer texts are cut at a byte between two words.
 CHUNK = 1 << 22
@@ -371,6 +373,64 @@ def find_leaks(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], names=["item_id", "doc_id"])
 
 
+def _chains(src: np.ndarray, position: np.ndarray) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
+    """Chains of at least ``COARSE_HITS`` joined windows of one document and passage, sorted by diagonal and word.
+
+    A run has one diagonal and no gap above ``WITHIN`` words. Runs follow each other if at most ``2 * COARSE`` words of
+    either side lie between their windows, as fillers of other lengths move the diagonal. Each is ``(windows, runs)``, a
+    run being (first word, first position, last word, last position) of its windows; a run on its own is a chain too.
+    """
+    cut = np.flatnonzero((np.diff(src - position, prepend=-(1 << 60)) != 0) | (np.diff(src, prepend=-(1 << 60)) > WITHIN))
+    end = np.append(cut[1:], len(src))
+    o = np.lexsort((position[cut], src[cut]))
+    s0, p0, s1, p1, n = src[cut][o], position[cut][o], src[end - 1][o], position[end - 1][o], (end - cut)[o]
+    best, back, tail = n.copy(), np.full(len(n), -1), np.ones(len(n), bool)
+    for i in range(len(n)):
+        ds, dp = s0[i] - s1[:i] - COARSE, p0[i] - p1[:i] - COARSE
+        ok = np.flatnonzero((ds >= 1) & (dp >= 1) & (ds <= 2 * COARSE) & (dp <= 2 * COARSE))
+        if len(ok):
+            back[i] = ok[best[ok].argmax()]
+            best[i] += best[back[i]]
+            tail[back[i]] = False
+    out = []
+    for i in range(len(n)):
+        if n[i] >= COARSE_HITS and (back[i] >= 0 or not tail[i]):
+            out.append((int(n[i]), [(int(s0[i]), int(p0[i]), int(s1[i]), int(p1[i]))]))
+        if tail[i] and best[i] >= COARSE_HITS:
+            runs, j = [], i
+            while j >= 0:
+                runs.append((int(s0[j]), int(p0[j]), int(s1[j]), int(p1[j])))
+                j = int(back[j])
+            out.append((int(best[i]), runs[::-1]))
+    return out
+
+
+def _chain_slots(runs: list[tuple[int, int, int, int]], h: np.ndarray, number: np.ndarray, theirs: np.ndarray, numbers: np.ndarray, vocabulary: np.ndarray) -> set[tuple[tuple, tuple]] | None:
+    """The slots along a chain as (item words, document words); None if there are none or names are not one to one."""
+    slots: set[tuple[tuple, tuple]] = set()
+    named: set[tuple[tuple, tuple]] = set()
+    for k, (s0, p0, s1, p1) in enumerate(runs):
+        a, b = theirs[p0 : p1 + COARSE], h[s0 : s1 + COARSE]
+        slot = ~(_member(a, vocabulary) & ~number[s0 : s1 + COARSE])
+        name = slot & ~np.isin(a, a[number[s0 : s1 + COARSE]])
+        slots |= {((x,), (y,)) for x, y in zip(a[slot].tolist(), b[slot].tolist())}
+        named |= {((x,), (y,)) for x, y in zip(a[name].tolist(), b[name].tolist())}
+        if k + 1 < len(runs):  # what lies between is one slot, without the words at its ends that are equal
+            a, b = theirs[p1 + COARSE : runs[k + 1][1]], h[s1 + COARSE : runs[k + 1][0]]
+            is_number = numbers[p1 + COARSE : runs[k + 1][1]]
+            while min(len(a), len(b)) > 1 and a[0] == b[0]:
+                a, b, is_number = a[1:], b[1:], is_number[1:]
+            while min(len(a), len(b)) > 1 and a[-1] == b[-1]:
+                a, b, is_number = a[:-1], b[:-1], is_number[:-1]
+            pair = (tuple(a.tolist()), tuple(b.tolist()))
+            slots.add(pair)
+            if not is_number.any():
+                named.add(pair)
+    if not slots or not len({x for x, _ in named}) == len(named) == len({y for _, y in named}):
+        return None
+    return slots
+
+
 def find_reparameterised(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     """(item_id, doc_id, n_windows, n_slots, n_changed): passages whose template stands there with consistent other slots."""
     for batch in _slices(batches):
@@ -385,19 +445,15 @@ def find_reparameterised(batches: Iterator[pa.RecordBatch], items: Items) -> Ite
             src = idx[src]
             order = np.lexsort((src, src - position, passage, doc[src]))
             src, passage, position = src[order], passage[order], position[order]
-            diagonal = src - position
-            cut = np.flatnonzero(np.diff(doc[src], prepend=-1) | np.diff(passage, prepend=-1) | np.diff(diagonal, prepend=-(1 << 60)))
+            cut = np.flatnonzero(np.diff(doc[src], prepend=-1) | np.diff(passage, prepend=-1))
             for lo, hi in zip(cut, np.append(cut[1:], len(src))):
                 if hi - lo < COARSE_HITS:
                     continue
-                p, s = int(passage[lo]), np.unique((src[lo:hi, None] + np.arange(COARSE)).ravel())
-                ours, theirs = h[s], items.words[p][s - diagonal[lo]]
-                known = _member(items.words[p][s - diagonal[lo]], items.vocabulary) & ~number[s]
-                slots = np.unique(np.stack([theirs[~known], ours[~known]]), axis=1)
-                names = ~np.isin(slots[0], theirs[number[s]])
-                one_way = len(np.unique(slots[0][names])) == names.sum() == len(np.unique(slots[1][names]))
-                if one_way and len(slots[0]):
-                    rows.append((items.ids[int(items.item_of[p])], batch.column(0)[int(doc[src[lo]])].as_py(), int(hi - lo), slots.shape[1], int((slots[0] != slots[1]).sum())))
+                p = int(passage[lo])
+                for n, runs in _chains(src[lo:hi], position[lo:hi]):
+                    slots = _chain_slots(runs, h, number, items.words[p], items.numbers[p], items.vocabulary)
+                    if slots is not None:
+                        rows.append((items.ids[int(items.item_of[p])], batch.column(0)[int(doc[src[lo]])].as_py(), n, len(slots), sum(x != y for x, y in slots)))
         cols = list(zip(*rows)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.int64()) for v in cols], names=["item_id", "doc_id", "n_windows", "n_slots", "n_changed"])
 

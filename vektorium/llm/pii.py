@@ -3,7 +3,8 @@
 A text is read in lines. A line is tagged if it has a trigger, that is, anything one of the five types
 can't be without: an @ between word characters or a written-out one; six digits within eight
 characters; two capitalised words close together. Triggers are found on the bytes of whole batches at
-once and leave out only what no instance can be (words with inner capitals, SQL key words). Tagged
+once. They leave out words with inner capitals, single letters without a full stop and SQL key words,
+so a line whose only name is written like that is not tagged (README, accuracy of p8). Tagged
 lines are scored in windows of at most ``WINDOW`` characters that overlap by ``OVERLAP``; where windows
 overlap, their scores are averaged with weights that fall towards the windows' ends, and the
 stretch is decoded once over its whole length, so an instance at a window's edge is seen whole.

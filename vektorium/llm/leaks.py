@@ -1,8 +1,10 @@
 """Evaluation passages inside training documents, by template canonicalisation.
 
 Words are the longest runs of ASCII letters, digits and underscores, whatever their case. Every word
-is canonicalised: numbers become the placeholder ``NUM``, units of measure ``UNIT``. In the coarse
-template names (words that are not part of the items' shared vocabulary) become ``NAME`` as well.
+is canonicalised: numbers become the placeholder ``NUM``, units of measure after a number ``UNIT``. In the
+coarse template names become ``NAME`` as well: all words that are neither in a fixed list (``COMMON``) nor in
+at least 1 in ``RARE`` of all documents of the corpus (and ``FLOOR`` documents). So whether a passage is found never
+depends on what other items there are, or how they are taken in blocks.
 
 *Fine templates* find passages that stand in a document whole, in part or edited. Windows of two
 canonical words are hashed on both sides and joined; the items' table is broadcast (it is bounded by
@@ -15,9 +17,11 @@ at least 85 in 100 of 30 words of the item within 40 words of the document.
 
 *Coarse templates* find re-parameterised tasks: windows of ``COARSE`` words with at least
 ``COARSE_LITERALS`` literal ones must be equal as templates, and the slots must be consistent over
-all joined windows of the passage: one document name for each item name and the other way round.
+all joined windows of the passage: one document name for each item name and the other way round, and
+one document number for each item number (different item numbers may become equal).
 
-Nulls and empty texts hold nothing. Items without a passage of 12 words can't be found.
+Nulls and empty texts hold nothing. Items without a passage of 12 words can't be found. Repeated items or
+documents give the same pairs once.
 """
 
 from __future__ import annotations
@@ -37,12 +41,25 @@ RUN, SPAN, WITHIN, SHARE = 12, 30, 40, 0.85
 NEEDED = math.ceil(SPAN * SHARE)
 SEEDS = 7
 DRIFT = (SPAN - NEEDED) + (WITHIN - NEEDED)
-COARSE, COARSE_LITERALS, COARSE_SHARED = 8, 4, 4
+COARSE, COARSE_LITERALS = 8, 4
+RARE, FLOOR = 4000, 3
+#: Of the words that are frequent enough, so many of the most frequent are literal (8 MB of hashes on the driver and in the broadcast).
+MAX_VOCABULARY = 1 << 20
 #: Joined windows that 12 successive words of an item give.
 COARSE_HITS = RUN - COARSE + 1
 MAX_ITEM_WORDS = 2_000_000
 #: Bytes hashed at a time; longer texts are cut at a byte between two words.
 CHUNK = 1 << 22
+#: Words checked at a time; a longer region is taken in parts that overlap by ``WITHIN``.
+REGION = 2048
+#: Words of English and of programming languages that are no names.
+COMMON = (
+    "a about after all also an and any are as at be been before between both but by can could did do does down each either else every few first for from had has have he her his how i if in into is it its just "
+    "last less let many may more most must next no none nor not now of off on once one only or other our out over own per same she should so some such than that the their them then there these they this those "
+    "through to too two under until up use used using was we were what when where which while who whose why will with within without would you your zero "
+    "assert async await bool break case catch char class const continue def default elif end enum except false final finally float fn func function given if import int interface lambda list "
+    "long new nil null none pass print private public raise return returns select self set static str string struct super switch this throw true try type val var void yield"
+).split()
 UNITS = ("ns", "us", "ms", "s", "sec", "secs", "second", "seconds", "min", "minutes", "hours", "days", "b", "kb", "mb", "gb", "tb", "kib", "mib", "gib", "bytes", "px", "pt", "em", "mm", "cm", "m", "km", "g", "kg", "percent", "hz", "khz", "mhz", "ghz")
 
 _LOWER = np.zeros(256, np.uint64)
@@ -82,6 +99,7 @@ def words_in(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 _UNIT_HASHES = np.sort(np.concatenate([words_in(u)[0] for u in UNITS]))
+_COMMON_HASHES = np.unique(np.concatenate([words_in(w)[0] for w in COMMON]))
 _NUM, _UNIT, _NAME = np.uint64(0x4E554D), np.uint64(0x554E4954), np.uint64(0x4E414D45)
 
 
@@ -163,20 +181,19 @@ def passages_of(prompt: str | None, solution: str | None) -> list[str]:
 def _coarse_windows(canon: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every window of ``COARSE`` words with names replaced, and where it has enough literals."""
     known = _member(canon, vocabulary)
-    slot = (canon == _NUM) | (canon == _UNIT) | ~known
-    t = np.where(canon == _NUM, _NUM, np.where(canon == _UNIT, _UNIT, np.where(known, canon, _NAME)))
+    t = np.where(known | (canon == _NUM) | (canon == _UNIT), canon, _NAME)
     n = len(t) - COARSE + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     h = t[:n].copy()
     for k in range(1, COARSE):
         h = _pair(h, t[k : n + k])
-    c = np.concatenate([[0], np.cumsum(~slot)])
+    c = np.concatenate([[0], np.cumsum(known)])
     return h, (c[COARSE:] - c[:-COARSE])[:n] >= COARSE_LITERALS
 
 
-def build_items(rows: list[tuple[int, str | None, str | None]]) -> Items:
-    """The table of template windows of (item_id, prompt, solution) rows."""
+def build_items(rows: list[tuple[int, str | None, str | None]], vocabulary: np.ndarray = _COMMON_HASHES) -> Items:
+    """The table of template windows of (item_id, prompt, solution) rows; ``vocabulary``: hashes of the literal words, ascending."""
     ids, item_of, words, numbers = [], [], [], []
     for i, prompt, solution in rows:
         if i is None:
@@ -188,11 +205,6 @@ def build_items(rows: list[tuple[int, str | None, str | None]]) -> Items:
                 words.append(h)
                 numbers.append(number)
         ids.append(i)
-    seen: dict[int, set[int]] = {}
-    for k, h in enumerate(words):
-        for w in np.unique(h).tolist():
-            seen.setdefault(w, set()).add(item_of[k])
-    vocabulary = np.sort(np.array([w for w, s in seen.items() if len(s) >= COARSE_SHARED], np.uint64))
     z = [np.zeros(0, np.uint64)]
     fk, fp, fq, ck, cp, cq, hk = list(z), [], [], list(z), [], [], list(z)
     for k, (h, number) in enumerate(zip(words, numbers)):
@@ -209,10 +221,17 @@ def build_items(rows: list[tuple[int, str | None, str | None]]) -> Items:
     return Items(ids, np.array(item_of, np.int64), words, numbers, _Table(cat(fk), cat(fp), cat(fq)), _Table(cat(ck), cat(cp), cat(cq)), _Table(cat(hk), np.zeros(len(cat(hk))), np.zeros(len(cat(hk)))), vocabulary)
 
 
+def _parts(words: np.ndarray) -> list[np.ndarray]:
+    """Parts of at most ``REGION`` words; whatever lies within ``WITHIN`` words lies in one of them."""
+    return [words[lo : lo + REGION] for lo in range(0, max(1, len(words) - WITHIN), REGION - WITHIN)]
+
+
 def holds_run(doc: np.ndarray, passage: np.ndarray, run: int = RUN) -> bool:
     """Whether ``run`` successive words of the passage stand in the document."""
     if len(doc) < run or len(passage) < run:
         return False
+    if len(doc) > REGION or len(passage) > REGION:
+        return any(holds_run(d, p, run) for d in _parts(doc) for p in _parts(passage))
     eq = doc[:, None] == passage[None, :]
     have, r = 1, eq
     while have < run:
@@ -227,6 +246,8 @@ def holds_edited(doc: np.ndarray, passage: np.ndarray) -> bool:
     n, m = len(doc), len(passage)
     if m < SPAN or n < NEEDED:
         return False
+    if n > REGION or m > REGION:
+        return any(holds_edited(d, p) for d in _parts(doc) for p in _parts(passage))
     eq = np.zeros((n + WITHIN, m), bool)
     eq[:n] = doc[:, None] == passage[None, :]
     starts = np.arange(m - SPAN + 1)
@@ -406,13 +427,13 @@ def _chains(src: np.ndarray, position: np.ndarray) -> list[tuple[int, list[tuple
 
 
 def _chain_slots(runs: list[tuple[int, int, int, int]], h: np.ndarray, number: np.ndarray, theirs: np.ndarray, numbers: np.ndarray, vocabulary: np.ndarray) -> set[tuple[tuple, tuple]] | None:
-    """The slots along a chain as (item words, document words); None if there are none or names are not one to one."""
+    """The slots along a chain as (item words, document words); None if there are none or they are not filled consistently."""
     slots: set[tuple[tuple, tuple]] = set()
     named: set[tuple[tuple, tuple]] = set()
     for k, (s0, p0, s1, p1) in enumerate(runs):
-        a, b = theirs[p0 : p1 + COARSE], h[s0 : s1 + COARSE]
-        slot = ~(_member(a, vocabulary) & ~number[s0 : s1 + COARSE])
-        name = slot & ~np.isin(a, a[number[s0 : s1 + COARSE]])
+        a, b, is_number = theirs[p0 : p1 + COARSE], h[s0 : s1 + COARSE], numbers[p0 : p1 + COARSE]
+        slot = ~_member(a, vocabulary) | is_number
+        name = slot & ~is_number
         slots |= {((x,), (y,)) for x, y in zip(a[slot].tolist(), b[slot].tolist())}
         named |= {((x,), (y,)) for x, y in zip(a[name].tolist(), b[name].tolist())}
         if k + 1 < len(runs):  # what lies between is one slot, without the words at its ends that are equal
@@ -426,7 +447,7 @@ def _chain_slots(runs: list[tuple[int, int, int, int]], h: np.ndarray, number: n
             slots.add(pair)
             if not is_number.any():
                 named.add(pair)
-    if not slots or not len({x for x, _ in named}) == len(named) == len({y for _, y in named}):
+    if not slots or len({x for x, _ in slots}) < len(slots) or len({y for _, y in named}) < len(named):
         return None
     return slots
 
@@ -458,17 +479,34 @@ def find_reparameterised(batches: Iterator[pa.RecordBatch], items: Items) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(list(v), pa.int64()) for v in cols], names=["item_id", "doc_id", "n_windows", "n_slots", "n_changed"])
 
 
-def _item_blocks(items: DataFrame, item_id: str, prompt: str, solution: str) -> Iterator[Items]:
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> (word, documents): in how many documents of a piece each word is."""
+    for batch in _slices(batches):
+        h, _, doc = _batch_words(batch)
+        _, once = np.unique(_pair(h, doc.astype(np.uint64)), return_index=True)
+        word, n = np.unique(h[once], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
+
+def corpus_vocabulary(docs: DataFrame) -> np.ndarray:
+    """Hashes of the literal words: the fixed list and what enough of all documents have."""
+    least = max(FLOOR, math.ceil(docs.count() / RARE))
+    counts = docs.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    rows = counts.orderBy(F.col("n").desc(), "word").limit(MAX_VOCABULARY).select("word").toArrow().column(0).to_numpy()
+    return np.union1d(_COMMON_HASHES, rows.astype(np.int64).view(np.uint64))
+
+
+def _item_blocks(items: DataFrame, item_id: str, prompt: str, solution: str, vocabulary: np.ndarray = _COMMON_HASHES) -> Iterator[Items]:
     """Items in blocks of at most ``MAX_ITEM_WORDS`` words, one block on the driver at a time."""
     block, size = [], 0
     for r in items.select(F.col(item_id).cast("long"), prompt, solution).orderBy(item_id).toLocalIterator():
         n = len(r[1] or "") // 2 + len(r[2] or "") // 2
         if block and size + n > MAX_ITEM_WORDS:
-            yield build_items(block)
+            yield build_items(block, vocabulary)
             block, size = [], 0
         block.append(tuple(r))
         size += n
-    yield build_items(block)
+    yield build_items(block, vocabulary)
 
 
 def _over_blocks(documents: DataFrame, blocks: Iterator[Items], find, schema: str) -> DataFrame:
@@ -489,5 +527,5 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 def reparameterised(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", prompt: str = "prompt", solution: str = "solution") -> DataFrame:
     """``item_id, doc_id, n_windows, n_slots, n_changed``: documents with an item's template, slots filled consistently."""
     docs = documents.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = _over_blocks(docs, _item_blocks(items, item_id, prompt, solution), find_reparameterised, "item_id long, doc_id long, n_windows long, n_slots long, n_changed long")
+    rows = _over_blocks(docs, _item_blocks(items, item_id, prompt, solution, corpus_vocabulary(docs)), find_reparameterised, "item_id long, doc_id long, n_windows long, n_slots long, n_changed long")
     return rows.groupBy("item_id", "doc_id").agg(F.max_by(F.struct("n_windows", "n_slots", "n_changed"), F.struct("n_windows", "n_slots", "n_changed")).alias("x")).select("item_id", "doc_id", "x.*")

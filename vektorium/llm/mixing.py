@@ -1,28 +1,33 @@
-"""Mixing sources to target weights, measured in tokens.
+"""Mixing sources to target weights, measured in tokens, by temperature.
 
-Weights lie on the temperature path between what a source has and what it should get:
-``w(t) ~ share ** (1 - t) * target ** t`` over the sources that have tokens, and the exponent t is
-bisected to the largest in [0, 1] at which no source needs more than ``max_repeats`` passes over its
-documents. (A bare exponent on the source shares, ``share ** t``, can't meet ten given targets with
-one number; ``entropy_weights`` offers it for mixtures that are described by an entropy instead.)
-Without a given total, the total is the largest at which t = 1 holds, so the targets are met exactly.
+Weights are powers of what the sources have. ``plan`` moves between natural shares and targets,
+``w(t) ~ share ** (1 - t) * target ** t`` over the sources that have tokens, and bisects the exponent t
+to the largest in [0, 1] at which no source needs more than ``max_repeats`` passes over its documents
+for the stated total. (A bare exponent on the shares can't meet ten given targets with one number.)
+``plan_by_entropy`` is that bare exponent, ``w(t) ~ share ** t``: t is bisected until the weights have a
+target entropy, and raised towards 1 as far as the repetition limits ask for. ``whole_total`` states a
+total: what the listed sources have together, or more if the targets can be met exactly with more.
 
 Weights are realised as budgeted block permutations: a source of A tokens and a budget of B is drawn
 in floor(B / A) whole blocks, each a permutation of all its documents by a seeded hash, and a prefix
 of one more permutation. The prefix is cut with two-level sums (over ``BUCKETS`` hash ranges, then
-inside the one range the cut falls in), so no task holds a source. The document the cut falls into is
-taken if half of it fits, so a source misses its budget by at most half a document.
+inside the one range the cut falls in), so no task holds a source, and what is joined back is one row
+a source. The document the cut falls into is taken if half of it fits, so a source misses its budget
+by at most half a document.
 
 Documents of null, unlisted or unnamed sources, and texts of no tokens (null, empty), are not drawn;
 a listed source without documents gets nothing and its weight goes to the others in proportion.
-Spellings of a source that differ in case, surrounding blanks or hyphens are one source.
+Spellings of a source that differ in case, surrounding blanks or hyphens are one source, in documents
+and in targets: weights of one source's targets are summed, the largest repetition limit holds; a null
+weight or limit is 0, a target without a source is left out. No documents or targets: no rows.
+More than ``MAX_SOURCES`` targets are an error.
 """
 
 from __future__ import annotations
 
 import base64
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,9 +38,9 @@ from pyspark.sql import Window as W
 
 from vektorium.llm.hashing import range_hashes
 
+#: Hash ranges of a permutation (the top 12 bits of the hash).
 BUCKETS = 4096
 MAX_SOURCES = 100_000
-MAX_BROADCAST_SOURCES = 64
 CHUNK = 1 << 22
 
 #: Distinct stretches a worker remembers before it starts afresh.
@@ -156,6 +161,7 @@ class Budget:
     weight: float
     budget: float
     max_repeats: int
+    exponent: float = 1.0
 
     @property
     def blocks(self) -> int:
@@ -186,17 +192,21 @@ def plan(available: Mapping[str, int], targets: Mapping[str, tuple[float, int]],
         return {s: x / z for s, x in w.items()}
 
     fits = lambda t: all(x * total <= caps[s] * (1 + 1e-9) for s, x in weights(t).items())
-    if fits(1.0):
-        w = q
-    elif fits(0.0):
-        lo, hi = 0.0, 1.0
-        for _ in range(60):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if fits(mid) else (lo, mid)
-        w = weights(lo)
-    else:
-        w = q
-    # what the limits still leave over goes to sources below their target first, then to any with room
+    t = 1.0 if fits(1.0) or not fits(0.0) else _bisect(fits, 0.0, 1.0)
+    w = weights(t)
+    return _budgets(live, targets, w, caps, q, total, t)
+
+
+def _bisect(fits: Callable[[float], bool], good: float, bad: float) -> float:
+    """The exponent nearest to ``bad`` that still fits."""
+    for _ in range(60):
+        mid = (good + bad) / 2
+        good, bad = (mid, bad) if fits(mid) else (good, mid)
+    return good
+
+
+def _budgets(live: Mapping[str, int], targets: Mapping[str, tuple[float, int]], w: Mapping[str, float], caps: Mapping[str, int], q: Mapping[str, float], total: float, exponent: float) -> dict[str, Budget]:
+    """Budgets for weights ``w``; what the limits leave over goes to sources with room, by their share of ``q``."""
     budget = {s: min(caps[s], w[s] * total) for s in live}
     for _ in range(100):
         left = total - sum(budget.values())
@@ -206,7 +216,7 @@ def plan(available: Mapping[str, int], targets: Mapping[str, tuple[float, int]],
         z = sum(q[s] for s in room)
         for s, r in room.items():
             budget[s] += min(r, left * q[s] / z)
-    return {s: Budget(live.get(s, 0), t, (budget.get(s, 0.0) / total), budget.get(s, 0.0), r) for s, (t, r) in targets.items()}
+    return {s: Budget(live.get(s, 0), t, budget.get(s, 0.0) / total, budget.get(s, 0.0), r, exponent) for s, (t, r) in targets.items()}
 
 
 def whole_total(available: Mapping[str, int], targets: Mapping[str, tuple[float, int]]) -> float | None:
@@ -219,29 +229,62 @@ def whole_total(available: Mapping[str, int], targets: Mapping[str, tuple[float,
     return max(float(sum(live.values())), min(a * targets[s][1] * goal / targets[s][0] for s, a in live.items())) if live else None
 
 
-def entropy_weights(available: Mapping[str, int], entropy: float) -> dict[str, float]:
-    """Weights ``share ** t`` with t bisected so that their entropy (in bits) is ``entropy``."""
+def bits(weights: Mapping[str, float]) -> float:
+    """Entropy in bits of weights that needn't sum to 1."""
+    z = sum(weights.values())
+    return -sum(x / z * math.log2(x / z) for x in weights.values() if x > 0) if z > 0 else 0.0
+
+
+def entropy_weights(available: Mapping[str, int], entropy: float) -> tuple[dict[str, float], float]:
+    """Weights ``share ** t`` with t in [0, 64] bisected so that their entropy is ``entropy`` bits, and t.
+
+    More bits than there are sources for give equal weights (t = 0).
+    """
     live = {s: a for s, a in available.items() if a > 0}
-    have = sum(live.values())
+    t = _bisect(lambda t: bits(_powers_of(live, t)) >= entropy, 0.0, 64.0)
+    return _powers_of(live, t), t
 
-    def at(t: float) -> dict[str, float]:
-        w = {s: (a / have) ** t for s, a in live.items()}
-        z = sum(w.values())
-        return {s: x / z for s, x in w.items()}
 
-    bits = lambda w: -sum(x * math.log2(x) for x in w.values() if x > 0)
-    lo, hi = 0.0, 64.0
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if bits(at(mid)) > entropy else (lo, mid)
-    return at((lo + hi) / 2)
+def _powers_of(live: Mapping[str, int], t: float) -> dict[str, float]:
+    most = max(live.values(), default=1)
+    w = {s: (a / most) ** t for s, a in live.items()}
+    z = sum(w.values())
+    return {s: x / z for s, x in w.items()}
+
 
+def plan_by_entropy(available: Mapping[str, int], targets: Mapping[str, tuple[float, int]], entropy: float, total: float | None = None) -> dict[str, Budget]:
+    """Budgets with weights ``share ** t``: t meets ``entropy`` bits, or is the nearest to it that the repetition limits allow.
 
-def available_tokens(sized: DataFrame, targets: DataFrame) -> dict[str, int]:
-    """Tokens by listed source; one row a source reaches the driver."""
-    rows = sized.groupBy("source").agg(F.sum("n_tokens").alias("n")).join(targets.select("source"), "source", "left_semi").limit(MAX_SOURCES + 1).collect()
+    ``total`` is what the listed sources have unless given; t = 1 asks for one pass over each of them then.
+    """
+    live = {s: a for s, a in available.items() if a > 0 and targets.get(s, (0, 0))[1] > 0}
+    if not live:
+        return {s: Budget(0, w, 0.0, 0.0, r) for s, (w, r) in targets.items()}
+    caps = {s: live[s] * targets[s][1] for s in live}
+    total = min(float(sum(live.values())) if total is None else total, sum(caps.values()))
+    w, t = entropy_weights(live, entropy)
+    fits = lambda t: all(x * total <= caps[s] * (1 + 1e-9) for s, x in _powers_of(live, t).items())
+    if not fits(t) and fits(1.0):
+        t = _bisect(fits, 1.0, t)
+        w = _powers_of(live, t)
+    return _budgets(live, targets, w, caps, w, total, t)
+
+
+def wanted_of(targets: DataFrame) -> dict[str, tuple[float, int]]:
+    """Weight and repetition limit by source, of (source, target_weight, max_repeats) rows."""
+    t = targets.where("source IS NOT NULL").groupBy(source_name(F.col("source")).alias("source")).agg(F.sum("target_weight").alias("w"), F.max("max_repeats").alias("r"))
+    rows = t.orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
+    return {r["source"]: (max(0.0, float(r["w"] or 0.0)), max(0, int(r["r"] or 0))) for r in rows}
+
+
+def available_tokens(sized: DataFrame, wanted: Mapping[str, tuple[float, int]]) -> dict[str, int]:
+    """Tokens by listed source; one row a listed source reaches the driver."""
+    if not wanted:
+        return {}
+    listed = sized.sparkSession.createDataFrame([(s,) for s in wanted], "source string")  # at most MAX_SOURCES rows
+    rows = sized.join(F.broadcast(listed), "source", "left_semi").groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
     return {r["source"]: int(r["n"] or 0) for r in rows}
 
 
@@ -257,13 +300,12 @@ def draw(sized: DataFrame, budgets: Mapping[str, Budget], seed: int = 7) -> Data
     docs = sized.where((F.col("n_tokens") > 0) & F.col("doc_id").isNotNull()).join(F.broadcast(wanted), "source")  # one row a source
     order = F.xxhash64(F.lit(seed), "doc_id", F.col("blocks") + 1)
     docs = docs.select("*", order.alias("_h"), F.shiftrightunsigned(order, 52).cast("int").alias("_hb"))
-    up = W.partitionBy("source").orderBy("_hb")
-    ranges = docs.groupBy("source", "_hb").agg(F.sum("n_tokens").alias("_sum"))
-    ranges = ranges.select("source", "_hb", "_sum", (F.sum("_sum").over(up) - F.col("_sum")).alias("_before"))
-    # at most BUCKETS rows a source: broadcast for few sources, else left to the planner
-    docs = docs.join(F.broadcast(ranges) if len(rows) <= MAX_BROADCAST_SOURCES else ranges, ["source", "_hb"])
-    whole = F.col("_before") + F.col("_sum") <= F.col("rest")
-    cut = ~whole & (F.col("_before") < F.col("rest"))
+    # the hash range each source's last block ends in, and the tokens before it: one row a source, none if it takes all
+    ranges = docs.groupBy("source", "rest", "_hb").agg(F.sum("n_tokens").alias("_sum"))
+    ranges = ranges.withColumn("_to", F.sum("_sum").over(W.partitionBy("source").orderBy("_hb").rowsBetween(W.unboundedPreceding, 0)))
+    ends = ranges.where(F.col("_to") > F.col("rest")).groupBy("source").agg(F.min(F.struct("_hb", (F.col("_to") - F.col("_sum")).alias("_before"))).alias("_end"))
+    docs = docs.join(F.broadcast(ends), "source", "left").select("*", F.coalesce("_end._hb", F.lit(BUCKETS)).alias("_last"), F.col("_end._before").alias("_before"))
+    whole, cut = F.col("_hb") < F.col("_last"), F.col("_hb") == F.col("_last")
     cols = ["source", "doc_id", "n_tokens", "blocks", "passes"]
     inside = docs.where(cut).withColumn("_c", F.col("_before") + F.sum("n_tokens").over(W.partitionBy("source").orderBy("_h", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens") / 2)
     inside = inside.select(*cols, (F.col("blocks") + (F.col("_c") <= F.col("rest")).cast("int")).alias("copies"))

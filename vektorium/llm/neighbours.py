@@ -1,15 +1,16 @@
 """The most similar vectors of every vector, from balanced posting lists.
 
-``all_neighbours`` joins the indexed rows with themselves list by list: a row meets, in each list
-that a search for it visits, the rows that are kept there. A list is one task's work of bounded size;
-one that has grown beyond ``MAX_ROWS`` is cut by a hash of the rows kept in it and its visitors go to
-every part, so nothing is left out. ``neighbours_of`` answers a stated query set in blocks against
-all rows instead: the block is broadcast, every partition scores its rows list by list against the
-queries whose search reaches the list, and keeps the best k of each query.
+``all_neighbours`` joins the indexed rows with themselves: a row meets, in each list that a search for
+it visits, the rows that are kept there. Lists that follow each other lie near each other, so ``SHARD`` of
+them are handled together: a row travels once to each shard it has to do with, however many lists of it
+that are, and comes back with its best of the whole shard. A shard is a grid of tasks: what it keeps is cut
+by a hash into parts of about ``MAX_ROWS`` rows, its visitors into parts of ``MAX_VISITORS``, and every part
+of the one meets every part of the other, so tasks stay bounded and nothing is left out.
 
 Copies (equal codes) are one row inside and are expanded at the end: the nearest of a copy are the
 other copies, by id, then the members of the nearest classes. Similarities are cosines of
-half-precision unit vectors (error below 0.0005). Equal similarities rank by class id.
+half-precision unit vectors (error below 0.0005). Equal similarities rank by class id. With fewer than
+``k`` other records all of them come out; an empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -21,11 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import Window as W
 
-from vektorium.llm.postings import Lists
-from vektorium.llm.vectors import DIM, array_to_codes, class_members
+from vektorium.llm.vectors import DIM, array_to_codes, class_members, join_classes
 
-MAX_ROWS = 8192
-BLOCK = 8192
+SHARD, MAX_ROWS, MAX_VISITORS = 16, 32_768, 65_536
 PAIR = "a long, b long, sim float"
 
 
@@ -83,45 +82,63 @@ def _pairs(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.float32())], names=["a", "b", "sim"])
 
 
-def _join_lists(batches: Iterator[pa.RecordBatch], k: int, least: float, dim: int) -> Iterator[pa.RecordBatch]:
-    """(list, part, role, rep, code) sorted by list and part; role 1 is kept, 2 visits, 3 both."""
-    for t in grouped(batches, 2):
-        role, rep = t.column(2).to_numpy(), t.column(3).to_numpy()
-        code = array_to_codes(t.column(4).combine_chunks(), dim)
-        kept, visits = (role & 1) > 0, (role & 2) > 0
-        if kept.any() and visits.any():
-            yield _pairs(*_best(code[visits], code[kept], rep[visits], rep[kept], k, least))
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of every entry of a list column, by value."""
+    column = column.combine_chunks()
+    off = column.offsets.to_numpy()
+    value = column.values.to_numpy(zero_copy_only=False)[off[0] : off[-1]]
+    row = np.repeat(np.arange(len(column)), np.diff(off))
+    order = np.argsort(value, kind="stable")
+    return row[order], value[order]
+
 
+def _top(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best ``k`` of each ``a``, each pair once."""
+    order = np.lexsort((b, -s, a))
+    a, b, s = a[order], b[order], s[order]
+    again = np.lexsort((-s, b, a))
+    once = np.ones(len(a), bool)
+    once[again[1:]] = (a[again[1:]] != a[again[:-1]]) | (b[again[1:]] != b[again[:-1]])
+    a, b, s = a[once], b[once], s[once]
+    keep = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[keep], b[keep], s[keep]
 
-def list_parts(index: DataFrame, most: int) -> dict[int, int]:
-    """Lists that keep more than ``most`` rows, and in how many parts; at most one row a list reaches the driver."""
-    n = index.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > most)
-    return {r["list"]: -(-r["n"] // most) for r in n.collect()}
+
+def _join_shards(batches: Iterator[pa.RecordBatch], k: int, least: float, dim: int) -> Iterator[pa.RecordBatch]:
+    """(shard, cell, rep, code, kept, seen) sorted by shard and cell: the lists of the shard that keep a row, and those it visits."""
+    for t in grouped(batches, 2):
+        rep, code = t.column(2).to_numpy(), array_to_codes(t.column(3).combine_chunks(), dim)
+        (kept, in_list), (visitor, visited) = _flat(t.column(4)), _flat(t.column(5))
+        found = []
+        for lst in np.intersect1d(in_list, visited).tolist():
+            d, q = kept[slice(*np.searchsorted(in_list, [lst, lst + 1]))], visitor[slice(*np.searchsorted(visited, [lst, lst + 1]))]
+            found.append(_best(code[q], code[d], rep[q], rep[d], k, least))
+        if found:
+            yield _pairs(*_top(*(np.concatenate(c) for c in zip(*found)), k))
 
 
 def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of each ``a`` over all lists, each pair once."""
-    p = pairs.groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    p = pairs.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"))
     return p.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy(F.col("sim").desc(), "b"))).where(F.col("rank") <= k)
 
 
 def class_neighbours(index: DataFrame, k: int, least: float = -2.0, dim: int = DIM) -> DataFrame:
     """``a, b, sim, rank`` between classes: the ``k`` nearest classes of each class that reach ``least``."""
-    parts = list_parts(index, MAX_ROWS)
-    role = F.flatten(F.array(
-        F.transform("lists", lambda x: F.struct(x.alias("list"), F.when(F.array_contains("visits", x), 3).otherwise(1).alias("role"))),
-        F.transform(F.array_except("visits", "lists"), lambda x: F.struct(x.alias("list"), F.lit(2).alias("role"))),
-    ))
-    rows = index.select("rep", "code", F.explode(role).alias("x")).select(F.col("x.list").alias("list"), F.col("x.role").cast("int").alias("role"), "rep", "code")
-    if parts:
-        n = F.coalesce(F.element_at(F.create_map(*(F.lit(v) for kv in parts.items() for v in kv)), F.col("list")), F.lit(1))
-        mine = F.pmod(F.xxhash64("rep"), n).cast("int")
-        everywhere = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.struct(p.alias("part"), F.when(p == mine, F.col("role")).otherwise(F.col("role").bitwiseAND(F.lit(2))).alias("role")))
-        rows = rows.select("list", "rep", "code", F.explode(everywhere).alias("y")).select("list", F.col("y.part").alias("part"), F.col("y.role").cast("int").alias("role"), "rep", "code").where("role > 0")
-    else:
-        rows = rows.select("list", F.lit(0).alias("part"), "role", "rep", "code")
-    rows = rows.repartition("list", "part").sortWithinPartitions("list", "part")
-    return _nearest(rows.mapInArrow(lambda it: _join_lists(it, k, least, dim), PAIR), k)
+    shard_of = lambda xs: F.array_distinct(F.transform(xs, lambda x: F.floor(x / SHARD).cast("int")))
+    here = lambda xs: F.filter(xs, lambda x: F.floor(x / SHARD).cast("int") == F.col("shard"))
+    sides = index.select(F.explode(F.concat(F.transform(shard_of("lists"), lambda x: F.struct(x.alias("shard"), F.lit(1).alias("k"), F.lit(0).alias("v"))), F.transform(shard_of("visits"), lambda x: F.struct(x.alias("shard"), F.lit(0).alias("k"), F.lit(1).alias("v"))))).alias("x"))
+    parts = lambda c, most: F.greatest(F.lit(1), F.ceil(F.sum(c) / most)).cast("int")
+    grid = sides.groupBy("x.shard").agg(parts("x.k", MAX_ROWS).alias("kp"), parts("x.v", MAX_VISITORS).alias("vp"))  # at most MAX_LISTS / SHARD rows
+    rows = index.select("rep", "code", "lists", "visits", F.explode(shard_of(F.concat("lists", "visits"))).alias("shard"))
+    rows = rows.select("shard", "rep", "code", here("lists").alias("kept"), here("visits").alias("seen")).join(F.broadcast(grid), "shard")
+    mine = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), n).cast("int")
+    none = F.array().cast("array<int>")
+    cell = lambda c: F.struct(c.alias("cell"), F.when(F.floor(c / F.col("vp")) == mine(F.col("kp"), 1), F.col("kept")).otherwise(none).alias("kept"), F.when(c % F.col("vp") == mine(F.col("vp"), 2), F.col("seen")).otherwise(none).alias("seen"))
+    cells = F.filter(F.transform(F.sequence(F.lit(0), F.col("kp") * F.col("vp") - 1), cell), lambda x: (F.size(x["kept"]) > 0) | (F.size(x["seen"]) > 0))
+    rows = rows.select("shard", "rep", "code", F.explode(cells).alias("c")).select("shard", F.col("c.cell").alias("cell"), "rep", "code", F.col("c.kept").alias("kept"), F.col("c.seen").alias("seen"))
+    rows = rows.repartition("shard", "cell").sortWithinPartitions("shard", "cell")
+    return _nearest(rows.mapInArrow(lambda it: _join_shards(it, k, least, dim), PAIR), k)
 
 
 def expand(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -132,7 +149,7 @@ def expand(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
     heads = members.withColumn("_r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("_r") <= k + 1)
     heads = heads.groupBy("rep", "n").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     # the slots that copies take come first
-    own = members.join(heads.select("rep", "ids"), "rep").select(F.col("id").alias("id_a"), F.explode(F.slice(F.array_except("ids", F.array("id")), 1, k)).alias("id_b"), F.lit(1.0).cast("float").alias("sim"))
+    own = join_classes(members.drop("n"), heads, ["rep"]).select(F.col("id").alias("id_a"), F.explode(F.slice(F.array_except("ids", F.array("id")), 1, k)).alias("id_b"), F.lit(1.0).cast("float").alias("sim"))
     h = heads.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("ids").alias("ids_b"))
     to = near.join(h, "b", "left").withColumn("nb", F.coalesce("nb", F.lit(1))).withColumn("ids_b", F.coalesce("ids_b", F.array("b")))
     before = F.coalesce(F.sum("nb").over(W.partitionBy("a").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -146,78 +163,3 @@ def expand(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
 def all_neighbours(live: DataFrame, index: DataFrame, k: int, least: float = -2.0, dim: int = DIM) -> DataFrame:
     """``id_a, id_b, sim``: for every live record its ``k`` nearest among those of at least ``least``."""
     return expand(class_neighbours(index, k, least, dim), class_members(live, index), k)
-
-
-def _query_blocks(queries: DataFrame, size: int, dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Blocks of the query set, one at a time on the driver."""
-    ids, codes = [], []
-    for r in queries.select("id", "code").toLocalIterator():
-        ids.append(r["id"])
-        codes.append(bytes(r["code"]))
-        if len(ids) == size:
-            yield np.array(ids, np.int64), np.frombuffer(b"".join(codes), np.float16).reshape(-1, dim).astype(np.float32)
-            ids, codes = [], []
-    if ids:
-        yield np.array(ids, np.int64), np.frombuffer(b"".join(codes), np.float16).reshape(-1, dim).astype(np.float32)
-
-
-def _score_block(batches: Iterator[pa.RecordBatch], qid: np.ndarray, q: np.ndarray, reach: np.ndarray, lists: Lists, k: int, dim: int) -> Iterator[pa.RecordBatch]:
-    best = [np.full((len(q), k), -9, np.float32), np.full((len(q), k), -1, np.int64)]
-
-    def flush(rep: np.ndarray, first: np.ndarray, code: np.ndarray) -> None:
-        order = np.argsort(first, kind="stable")
-        cuts = np.flatnonzero(np.diff(first[order], prepend=-1))
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(order))):
-            rows = order[lo:hi]
-            who = np.flatnonzero(q @ lists.centroids[first[rows[0]]] >= reach)
-            if not len(who):
-                continue
-            s = q[who] @ code[rows].T
-            s[qid[who][:, None] == rep[rows][None, :]] = -9
-            m = min(k, len(rows))
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            ss = np.concatenate([best[0][who], np.take_along_axis(s, top, 1)], 1)
-            bb = np.concatenate([best[1][who], rep[rows][top]], 1)
-            keep = np.argsort(-ss, axis=1, kind="stable")[:, :k]
-            best[0][who], best[1][who] = np.take_along_axis(ss, keep, 1), np.take_along_axis(bb, keep, 1)
-
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for b in batches:
-        if len(b):
-            first = b.column(2)
-            held.append((b.column(0).to_numpy(), first.to_numpy(), array_to_codes(b.column(1), dim)))
-        if sum(len(h[0]) for h in held) >= 65536:
-            flush(*(np.concatenate(c) for c in zip(*held)))
-            held = []
-    if held:
-        flush(*(np.concatenate(c) for c in zip(*held)))
-    r, c = np.nonzero(best[0] > -2)
-    yield _pairs(qid[r], best[1][r, c], best[0][r, c])
-
-
-def neighbours_of(queries: DataFrame, live: DataFrame, index: DataFrame, lists: Lists, k: int, search: float = 0.35, dim: int = DIM) -> DataFrame:
-    """``id_a, id_b, sim``: the ``k`` nearest live records of each query (``id, code`` of a live record).
-
-    A query visits every list whose centroid is at most ``1 + search`` times as far as its nearest.
-    """
-    spark, out = live.sparkSession, None
-    rows = index.select("rep", "code", F.col("lists")[0].alias("first"))
-    for qid, q in _query_blocks(queries, BLOCK, dim):
-        top = np.concatenate([(q[lo : lo + 1024] @ lists.centroids.T).max(1) for lo in range(0, len(q), 1024)])
-        reach = 1 - (1 + search) ** 2 * (1 - top)
-        held = spark.sparkContext.broadcast((qid, q, reach.astype(np.float32), lists))  # at most BLOCK queries
-        part = rows.mapInArrow(lambda it, held=held: _score_block(it, *held.value, k, dim), PAIR)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = spark.createDataFrame([], PAIR)
-    members = class_members(live, index)
-    of = members.select(F.col("id").alias("a"), F.col("rep").alias("_own"))
-    near = out.join(of, "a", "left").where("_own IS NULL OR _own != b").drop("_own")
-    near = _nearest(near, k)
-    heads = members.withColumn("_r", F.row_number().over(W.partitionBy("rep").orderBy("id"))).where(F.col("_r") <= k + 1)
-    heads = heads.groupBy("rep").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    own = queries.select("id").join(members, "id").join(heads, "rep").select(F.col("id").alias("a"), F.explode(F.slice(F.array_except("ids", F.array("id")), 1, k)).alias("id_b"), F.lit(1.0).cast("float").alias("sim"))
-    to = near.join(heads.withColumnRenamed("rep", "b"), "b", "left").select("a", F.explode(F.coalesce("ids", F.array("b"))).alias("id_b"), "sim")
-    w = W.partitionBy("a").orderBy(F.col("sim").desc(), F.col("own").desc(), "id_b")
-    both = own.withColumn("own", F.lit(1)).unionByName(to.withColumn("own", F.lit(0)))
-    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("a").alias("id_a"), "id_b", "sim", "rank")

@@ -1,156 +1,120 @@
 """Personal information in free text: found by a character-level BiLSTM-CRF, replaced by placeholders.
 
-A text is read in lines. A line is tagged if it has a trigger, that is, anything one of the five types
-can't be without: an @ between word characters or a written-out one; six digits within eight
-characters; two capitalised words close together. Triggers are found on the bytes of whole batches at
-once. They leave out words with inner capitals, single letters without a full stop and SQL key words,
-so a line whose only name is written like that is not tagged (README, accuracy of p8). Tagged
-lines are scored in windows of at most ``WINDOW`` characters that overlap by ``OVERLAP``; where windows
-overlap, their scores are averaged with weights that fall towards the windows' ends, and the
-stretch is decoded once over its whole length, so an instance at a window's edge is seen whole.
+Every character of every text is scored. A text is read in lines (without the blanks before them), a
+line in windows of at most ``WINDOW`` characters that overlap by ``OVERLAP``. A small BiLSTM scores all
+windows; where its score reaches a threshold, learned so that it passes 99.85 % of made-up lines that
+hold something, the large BiLSTM scores the line's window with the windows beside it. Where windows
+overlap, label scores are averaged with weights that fall towards the windows' ends, and each
+stretch is decoded by the CRF once over its whole length, so an instance at a window's edge is seen
+whole. Equal windows, and equal stretches, of a piece of ``CHUNK`` characters are scored once. Nothing
+is looked up and no span is rejected afterwards; blanks and quotes at a span's ends are cut off.
 
 ``find`` returns the spans, ``redact`` the texts with ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``,
 ``[ADDRESS]`` and ``[NAME]`` in their place and every other character unchanged.
 
-Null and empty texts hold nothing; a null text stays null.
+Null and empty texts hold nothing; a null text stays null. Broken UTF-8 is read as U+FFFD. Rows with a
+null id are left out; rows that are repeated are repeated in the result of ``redact`` and once in ``find``'s.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from vektorium.llm.hashing import range_hashes
-from vektorium.llm.pii_model import LABELS, Tagger, char_ids, spans_of
+from vektorium.llm.pii_model import N_LABELS, Net, Tagger, ids_of, spans_of
 
 MODEL = Path(__file__).with_name("pii_model.npz")
 WINDOW, OVERLAP = 320, 120
-#: Windows scored at a time, and bytes of text searched for triggers at a time.
-AT_ONCE, CHUNK = 2048, 1 << 23
-#: Of long lines so many bytes on either side of a trigger are read.
-REACH = 200
-#: Capitalised words at most so many bytes apart are a trigger.
-NEAR = 28
-#: Capitalised words that no name or address has.
-KEYWORDS = ("CREATE", "TABLE", "INSERT", "INTO", "VALUES", "BIGINT", "PRIMARY", "KEY", "TEXT", "NOT", "NULL", "DOUBLE", "PRECISION", "SELECT", "FROM", "WHERE", "AND", "OR", "VARCHAR", "INTEGER", "TODO", "DO", "EDIT", "FIXME", "NOTE", "SPDX", "LicenseRef", "Identifier", "License", "Copyright", "Project", "Contributors", "Code", "The", "Object", "String", "Minute", "Error", "Skip", "Keeps", "Return", "Rebuild", "Assumes", "Falls")
-#: What every mailbox has between its name and its host.
-MAIL = re.compile(r"\w@\w|\w ?[\[(<{]at[\])>}] ?\w|\w at \w.* dot \w", re.I)
-BETWEEN = re.compile(r"\s+(?:and|or)\s+|[,;]\s+", re.I)
-
-_SPEC = np.zeros(256, np.uint8)
-_UP, _LOW, _NUM, _LINK, _HIGH = 1, 2, 4, 8, 16
-_SPEC[65:91] = _UP
-_SPEC[97:123] = _LOW
-_SPEC[48:58] = _NUM
-_SPEC[[32, 44, 45, 46, 39, 35, 47, 38]] = _LINK
-_SPEC[128:] = _HIGH
-_KEYS = np.sort(np.array([range_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in KEYWORDS], np.uint64))
-
-
-def triggers(raw: np.ndarray) -> np.ndarray:
-    """Byte positions (ascending) at which a line may hold personal information."""
-    n = len(raw)
-    if n < 2:
-        return np.zeros(0, np.int64)
-    kind = _SPEC[raw]
-    word = (kind & (_UP | _LOW | _NUM | _HIGH)) > 0
-    at = np.flatnonzero(raw == 64)
-    at = at[(at > 0) & (at < n - 1)]
-    found = np.zeros(n, bool)
-    found[at[word[at - 1] & word[at + 1]]] = True
-    # written-out mail: a "dot" that stands alone or in brackets
-    low = raw | 32
-    d = np.flatnonzero(low == 100)
-    d = d[(d > 0) & (d < n - 3)]
-    d = d[(low[d + 1] == 111) & (low[d + 2] == 116) & ~word[d - 1] & ~word[d + 3]]
-    a = np.flatnonzero((low[:-1] == 97) & (low[1:] == 116))
-    a = a[(a > 0) & (a < n - 2)]
-    a = a[((raw[a - 1] == 40) | (raw[a - 1] == 91)) & ((raw[a + 2] == 41) | (raw[a + 2] == 93))]
-    found[d] = found[a] = True
-    digit = kind == _NUM
-    c = np.zeros(n + 1, np.int32)
-    np.cumsum(digit, out=c[1:])
-    k = np.flatnonzero(digit)
-    found[k[c[np.minimum(k + 8, n)] - c[k] >= 6]] = True
-    # capitalised words
-    head = ((kind & (_UP | _HIGH)) > 0) & (raw != 0xE2) & (raw != 0xEF)
-    before = np.zeros(n, bool)
-    before[1:] = word[:-1] | (raw[:-1] == 95)
-    head &= ~before
-    first = np.flatnonzero(head)
-    if len(first) > 1:
-        edge = np.flatnonzero(np.diff(word, append=False))  # last byte of each word or gap
-        last = edge[np.searchsorted(edge, first)] + 1
-        inner = np.zeros(n + 1, np.int32)
-        inner[2:] = np.cumsum(((kind[1:] == _UP) & (kind[:-1] == _LOW)))
-        snake = np.append(raw[1:], 0)[last - 1] == 95
-        plain = (inner[last] == inner[first + 1]) & ~snake & ((last - first > 1) | (np.append(raw, 0)[last] == 46))
-        h = range_hashes(raw, first, last)
-        plain &= _KEYS[np.minimum(np.searchsorted(_KEYS, h), len(_KEYS) - 1)] != h
-        first, last = first[plain], last[plain]
-        if len(first) > 1:
-            bad = np.zeros(n + 1, np.int32)
-            np.cumsum(kind == 0, out=bad[1:])
-            gap = first[1:] - last[:-1]
-            ok = (gap <= NEAR) & (bad[first[1:]] == bad[last[:-1]])
-            found[first[:-1][ok]] = True
-    return np.flatnonzero(found)
-
-
-def lines_with(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, first and last byte of every stretch that has a trigger.
-
-    A stretch is a line; of a line longer than ``WINDOW`` bytes it is what lies within ``REACH`` bytes
-    of a trigger (cut between characters), and stretches that touch are one.
-    """
-    at = triggers(raw)
-    if not len(at):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    stop = np.flatnonzero((raw == 10) | (raw == 13))
-    mark = np.zeros(len(raw) + 1, bool)
-    mark[off] = mark[stop] = mark[stop + 1] = mark[-1] = True
-    bounds = np.flatnonzero(mark)
-    line = np.searchsorted(bounds, at, side="right") - 1
-    lo, hi = bounds[line], bounds[line + 1]
-    long = hi - lo > WINDOW
-    lo, hi = np.where(long, np.maximum(lo, at - REACH), lo), np.where(long, np.minimum(hi, at + REACH), hi)
-    new = np.ones(len(lo), bool)
-    new[1:] = (lo[1:] > hi[:-1]) | (line[1:] != line[:-1])
-    first = lo[new]
-    last = np.append(hi[np.flatnonzero(new)[1:] - 1], hi[-1])
-    for _ in range(3):  # never inside a character
-        first = first - ((raw[first] & 0xC0) == 0x80)
-        last = last + ((last < len(raw)) & ((np.append(raw, 0)[last] & 0xC0) == 0x80))
-    return np.searchsorted(off, first, side="right") - 1, first, last
-
-
-def _windows(n: int) -> list[tuple[int, int]]:
+#: Windows scored at a time by the small and the large net, and characters of text taken at a time.
+SCAN_AT_ONCE, AT_ONCE, CHUNK = 4096, 2048, 1 << 22
+
+
+def _cuts(n: int) -> list[tuple[int, int]]:
     if n <= WINDOW:
         return [(0, n)]
     step = WINDOW - OVERLAP
     return [(k, min(k + WINDOW, n)) for k in range(0, n - OVERLAP, step)]
 
 
+def windows_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last character and line of every window, of lines without their leading blanks."""
+    n = len(code)
+    blank = (code == 32) | (code == 9)
+    end = np.append(np.flatnonzero((code == 10) | (code == 13)), n)
+    begin = np.append(0, end[:-1] + 1)
+    solid = np.append(np.flatnonzero(~blank), n)  # line ends are solid, so no line runs into the next
+    begin = np.minimum(solid[np.searchsorted(solid, begin)], end)
+    some = begin < end
+    begin, end = begin[some], end[some]
+    line = np.arange(len(begin))
+    long = np.flatnonzero(end - begin > WINDOW)
+    if not len(long):
+        return begin, end, line
+    parts = [(begin[i] + a, begin[i] + b, i) for i in long.tolist() for a, b in _cuts(int(end[i] - begin[i]))]
+    a, b, k = np.array(parts).T
+    short = np.flatnonzero(end - begin <= WINDOW)
+    first, last, line = np.concatenate([begin[short], a]), np.concatenate([end[short], b]), np.concatenate([line[short], k])
+    order = np.argsort(first, kind="stable")
+    return first[order], last[order], line[order]
+
+
+def peaks(scan: Net, ids: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The small net's highest score in each window; equal windows are scored once."""
+    _, rep, where = np.unique(range_hashes(ids, first, last), return_index=True, return_inverse=True)
+    a, n = first[rep], (last - first)[rep]
+    out, order = np.empty(len(rep), np.float32), np.argsort(-n, kind="stable")
+    padded = np.append(ids, np.int16(0))
+    for lo in range(0, len(order), SCAN_AT_ONCE):
+        part = order[lo : lo + SCAN_AT_ONCE]
+        lengths = n[part]
+        step = np.arange(lengths[0])[:, None]
+        x = padded[np.where(step < lengths, a[part] + step, len(ids))]
+        s = scan.score(x, lengths)[:, 0]
+        s[np.arange(len(s))[:, None] * scan.stride >= lengths] = -99
+        out[part] = s.max(0)
+    return out[where]
+
+
+def stretches(tagger: Tagger, code: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last character of what the large net reads: windows that pass, with the windows beside them in their lines."""
+    first, last, line = windows_of(code)
+    if not len(first):
+        return first, last
+    passed = peaks(tagger.scan, ids, first, last) >= tagger.threshold
+    same = line[1:] == line[:-1]
+    wide = passed.copy()
+    wide[1:] |= passed[:-1] & same
+    wide[:-1] |= passed[1:] & same
+    at = np.flatnonzero(wide)
+    if not len(at):
+        return first[:0], last[:0]
+    new = np.ones(len(at), bool)
+    new[1:] = (line[at[1:]] != line[at[:-1]]) | (np.diff(at) > 1)
+    head = np.flatnonzero(new)
+    return first[at[head]], last[at[np.append(head[1:], len(at)) - 1]]
+
+
 def _weight(n: int) -> np.ndarray:
     """Falls towards a window's ends, where the tagger has seen one side only."""
     k = np.arange(n)
     return np.minimum(np.minimum(k, n - 1 - k) + 1, OVERLAP // 2).astype(np.float32)[:, None]
 
 
-def tag_lines(tagger: Tagger, lines: list[str]) -> list[list[tuple[int, int, str]]]:
-    """Spans (first, last, type) of each line; equal lines are tagged once."""
-    distinct = {s: i for i, s in enumerate(dict.fromkeys(lines))}
-    ids = [char_ids(s) for s in distinct]
-    parts = [(i, a, b) for i, x in enumerate(ids) for a, b in _windows(len(x))]
+def tag_lines(tag: Net, lines: list[str], of: list[np.ndarray]) -> list[list[tuple[int, int, str]]]:
+    """Spans (first, last, type) of each line, given with its characters' ids; equal lines are tagged once."""
+    distinct: dict[str, int] = {}
+    ids = []
+    for s, x in zip(lines, of):
+        if distinct.setdefault(s, len(ids)) == len(ids):
+            ids.append(x)
+    parts = [(i, a, b) for i, x in enumerate(ids) for a, b in _cuts(len(x))]
     parts.sort(key=lambda p: p[1] - p[2])
-    long = {i: (np.zeros((len(ids[i]), len(LABELS)), np.float32), np.zeros((len(ids[i]), 1), np.float32)) for i in {p[0] for p in parts} if len(ids[i]) > WINDOW}
+    long = {i: (np.zeros((len(ids[i]), N_LABELS), np.float32), np.zeros((len(ids[i]), 1), np.float32)) for i in {p[0] for p in parts} if len(ids[i]) > WINDOW}
     spans: list[list[tuple[int, int, str]]] = [[] for _ in ids]
     for lo in range(0, len(parts), AT_ONCE):
         part = parts[lo : lo + AT_ONCE]
@@ -158,102 +122,88 @@ def tag_lines(tagger: Tagger, lines: list[str]) -> list[list[tuple[int, int, str
         x = np.zeros((lengths.max(), len(part)), np.int64)
         for j, (i, a, b) in enumerate(part):
             x[: b - a, j] = ids[i][a:b]
-        scores = tagger.score(x, lengths)
+        scores = tag.score(x, lengths)
         short = [j for j, p in enumerate(part) if p[0] not in long]
         if short:
-            y = tagger.decode(scores[:, short], lengths[short])
+            y = tag.decode(np.take(scores, short, axis=2) if len(short) < len(part) else scores, lengths[short])
             for j, k in enumerate(short):
                 spans[part[k][0]] = spans_of(y[: lengths[k], j].tolist())
         for j, (i, a, b) in enumerate(part):
             if i in long:
                 w = _weight(b - a)
-                long[i][0][a:b] += scores[: b - a, j] * w
+                long[i][0][a:b] += scores[: b - a, :, j] * w
                 long[i][1][a:b] += w
     joined = sorted(long, key=lambda i: -len(ids[i]))
-    for lo in range(0, len(joined), 256):
-        part = joined[lo : lo + 256]
+    for lo in range(0, len(joined), 64):
+        part = joined[lo : lo + 64]
         lengths = np.array([len(ids[i]) for i in part])
-        scores = np.zeros((lengths.max(), len(part), len(LABELS)), np.float32)
+        scores = np.zeros((lengths.max(), N_LABELS, len(part)), np.float32)
         for j, i in enumerate(part):
-            scores[: lengths[j], j] = long[i][0] / long[i][1]
-        y = tagger.decode(scores, lengths)
+            scores[: lengths[j], :, j] = long[i][0] / long[i][1]
+        y = tag.decode(scores, lengths)
         for j, i in enumerate(part):
             spans[i] = spans_of(y[: lengths[j], j].tolist())
     return [spans[distinct[s]] for s in lines]
 
 
-def _tidy(line: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
-    """A span without blanks or closing marks at its ends; None if nothing of the type can be left."""
-    while a < b and line[a] in " \t,;:\"'<([{=" and not (kind == "phone" and line[a] == "("):
+def _trim(line: str, a: int, b: int) -> tuple[int, int]:
+    """A span without blanks, quotes and separators at its ends."""
+    while a < b and line[a] in " \t,;:\"'<>=":
         a += 1
-    while a < b and line[b - 1] in " \t,;:\"'>]}=|" + ("" if kind in ("phone", "email") else ")"):
+    while a < b and line[b - 1] in " \t,;:\"'<>=":
         b -= 1
-    if kind != "name" and b > a and line[b - 1] == ".":
-        b -= 1
-    has = sum(c.isdigit() for c in line[a:b])
-    if kind == "email" and not MAIL.search(line, a, b) or kind == "address" and ("," not in line[a:b] or " " not in line[a:b]):
-        return None
-    if b - a < 4 or (kind == "phone" and has < 7) or (kind == "id_number" and has < 6) or (kind == "address" and not has) or (kind == "name" and (has or not any(c in " , " for c in line[a:b]))):
-        return None
     return a, b
 
 
-def _apart(line: str, a: int, b: int) -> list[tuple[int, int]]:
-    """A span of several mailboxes ("x@y and z@w") as one span each."""
-    cuts = [(m.start(), m.end()) for m in BETWEEN.finditer(line, a, b)]
-    starts, ends = [a, *(e for _, e in cuts)], [*(s for s, _ in cuts), b]
-    parts = list(zip(starts, ends))
-    return parts if len(parts) > 1 and all(MAIL.search(line, p, q) for p, q in parts) else [(a, b)]
+def spans_in(tagger: Tagger, texts: list[str]) -> list[tuple[int, int, int, str]]:
+    """(text, first, last, type) of every instance, in order; places are those of characters."""
+    whole = "\n".join(texts)
+    start = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    code = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    ids = ids_of(code)
+    first, last = (x.tolist() for x in stretches(tagger, code, ids))
+    lines, of = [whole[a:b] for a, b in zip(first, last)], [ids[a:b] for a, b in zip(first, last)]
+    doc = (np.searchsorted(start, first, side="right") - 1).tolist()
+    out = []
+    for d, at, line, spans in zip(doc, first, lines, tag_lines(tagger.tag, lines, of)):
+        for x, y, kind in spans:
+            a, b = _trim(line, x, y)
+            if a < b:
+                out.append((d, at - int(start[d]) + a, at - int(start[d]) + b, kind))
+    return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Batches in pieces of about ``CHUNK`` bytes, with their text's bytes and offsets."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Batches in pieces of about ``CHUNK`` bytes (a longer text is a piece of its own), with their texts."""
     for batch in batches:
-        text = pc.fill_null(batch.column(column).cast(pa.large_string()), "")
-        off = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-        raw = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
+        raw = batch.column(1).cast(pa.large_binary())
+        off = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
         lo = 0
         while lo < len(batch):
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + CHUNK, side="right")) - 1)
-            yield batch.slice(lo, hi - lo), raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+            yield batch.slice(lo, hi - lo), [None if t is None else t.decode("utf-8", "replace") for t in raw.slice(lo, hi - lo).to_pylist()]
             lo = hi
 
 
-def spans_in(tagger: Tagger, raw: np.ndarray, off: np.ndarray) -> list[tuple[int, int, str, str]]:
-    """(document, first byte in it, type, value) of every instance, in order."""
-    docs, first, last = lines_with(raw, off)
-    data = raw.tobytes()
-    lines = [data[a:b].decode("utf-8", "replace") for a, b in zip(first.tolist(), last.tolist())]
-    out = []
-    for d, a, line, spans in zip(docs.tolist(), first.tolist(), lines, tag_lines(tagger, lines)):
-        for x, y, kind in spans:
-            for p, q in _apart(line, x, y) if kind == "email" else [(x, y)]:
-                if (t := _tidy(line, p, q, kind)) is not None:
-                    out.append((d, a - int(off[d]) + len(line[: t[0]].encode("utf-8", "surrogatepass")), kind, line[t[0] : t[1]]))
-    return out
-
-
 def _find(batches: Iterator[pa.RecordBatch], tagger: Tagger) -> Iterator[pa.RecordBatch]:
-    for batch, raw, off in _slices(batches, 1):
-        ids = batch.column(0).to_pylist()
-        rows = dict.fromkeys((ids[d], kind, value) for d, _, kind, value in spans_in(tagger, raw, off))
+    for batch, texts in _pieces(batches):
+        ids, full = batch.column(0).to_pylist(), [t or "" for t in texts]
+        rows = dict.fromkeys((ids[d], kind, full[d][a:b]) for d, a, b, kind in spans_in(tagger, full))
         cols = list(zip(*rows)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(list(cols[0]), pa.int64()), pa.array(list(cols[1]), pa.string()), pa.array(list(cols[2]), pa.string())], names=["doc_id", "pii_type", "pii_value"])
 
 
 def _redact(batches: Iterator[pa.RecordBatch], tagger: Tagger) -> Iterator[pa.RecordBatch]:
-    for batch, raw, off in _slices(batches, 1):
-        data, texts, counts = raw.tobytes(), batch.column(1).to_pylist(), [0] * len(batch)
-        by: dict[int, list[tuple[int, int, str]]] = {}
-        for d, a, kind, value in spans_in(tagger, raw, off):
-            by.setdefault(d, []).append((a, a + len(value.encode("utf-8", "surrogatepass")), kind))
+    for batch, texts in _pieces(batches):
+        counts, by = [0] * len(texts), {}
+        for d, a, b, kind in spans_in(tagger, [t or "" for t in texts]):
+            by.setdefault(d, []).append((a, b, kind))
         for d, spans in by.items():
-            body, at, out = data[off[d] : off[d + 1]], 0, []
-            for a, b, kind in sorted(spans):
-                if a >= at:
-                    out += [body[at:a], f"[{kind.upper()}]".encode()]
-                    at = b
-            texts[d], counts[d] = b"".join([*out, body[at:]]).decode("utf-8", "replace"), len(spans)
+            body, at, out = texts[d], 0, []
+            for a, b, kind in spans:
+                out += [body[at:a], f"[{kind.upper()}]"]
+                at = b
+            texts[d], counts[d] = "".join([*out, body[at:]]), len(spans)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["doc_id", "text", "n_replaced"])
 
 

@@ -7,7 +7,8 @@ to its nearest list and, if it lies at a boundary, to further lists whose centro
 ``1 + replicate`` times as far, unless that centroid is nearer to one already chosen than to the row.
 Centroids are found by best-first search in an in-memory neighbour graph of the centroids, entered
 through hubs, so the cost a row hardly grows with the number of lists. At most ``MAX_LISTS`` centroids
-exist (4 MB), so broadcasting them is safe at any size of the data.
+exist (4 MB), so broadcasting them is safe at any size of the data; beyond ``LIST * MAX_LISTS`` rows (4.2
+million) lists grow with the data, and the work with its square over ``MAX_LISTS``.
 """
 
 from __future__ import annotations
@@ -85,13 +86,9 @@ class Lists:
         return cls(centroids, graph, np.sort(rng.choice(n, min(n, max(16, 4 * math.isqrt(n))), replace=False)))
 
     def nearest(self, x: np.ndarray, m: int, beam: int = 10, hops: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """The ``m`` nearest centroids of each unit vector and their cosines, by search in the graph."""
+        """The ``m`` nearest centroids of each unit vector and their cosines, by search in the graph (places left empty have -9)."""
         n = len(self.centroids)
         m = min(m, n)
-        if n <= 64:
-            s = x @ self.centroids.T
-            top = np.argsort(-s, axis=1, kind="stable")[:, :m]
-            return top, np.take_along_axis(s, top, 1)
         m, width = min(m, beam), min(beam, len(self.hubs))
         s = x @ self.centroids[self.hubs].T
         at = np.argpartition(-s, width - 1, axis=1)[:, :width]
@@ -106,7 +103,8 @@ class Lists:
             order = np.argsort(ids, axis=1, kind="stable")
             ids, ss = np.take_along_axis(ids, order, 1), np.take_along_axis(ss, order, 1)
             ss[:, 1:][ids[:, 1:] == ids[:, :-1]] = -9
-            top = np.argpartition(-ss, beam - 1, axis=1)[:, :beam]
+            held = min(beam, n)
+            top = np.argpartition(-ss, min(held, ss.shape[1]) - 1, axis=1)[:, :held]
             new, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(ss, top, 1)
             order = np.argsort(-sims, axis=1, kind="stable")
             new, sims = np.take_along_axis(new, order, 1), np.take_along_axis(sims, order, 1)
@@ -179,7 +177,7 @@ def index(classes: DataFrame, lists: Lists, replicate: float = 0.12, most: int =
     return classes.select("rep", "n", "code").mapInArrow(lambda it: _route(it, held.value, replicate, most, search, visits, dim), "rep long, n long, code binary, lists array<int>, visits array<int>")
 
 
-def wide_index(classes: DataFrame, lists: Lists, asked: DataFrame | None = None, replicate: float = 0.2, most: int = 5, share: float = 1 / 12, least: int = 14, dim: int = DIM) -> DataFrame:
+def wide_index(classes: DataFrame, lists: Lists, asked: DataFrame | None = None, replicate: float = 0.2, most: int = 5, share: float = 1 / 10, least: int = 20, dim: int = DIM) -> DataFrame:
     """As ``index``, for searches without a threshold: each class visits the nearest ``share`` of all lists, at least ``least``.
 
     The visits are found by comparison with every centroid, and their number grows with the lists, as a fixed number would

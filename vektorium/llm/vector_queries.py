@@ -19,19 +19,19 @@ def _indexed(live: DataFrame) -> tuple[postings.Lists, DataFrame]:
     return lists, stored(postings.index(vectors.copy_classes(live), lists), "index")
 
 
-def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _grouped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     live = _live(spark, sf_dir)
     lists, index = _indexed(live)
-    return grouping.members_of(grouping.groups(live, index, lists), live, index)
+    return grouping.members_of(grouping.groups(live, index, lists), live, index), live
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grouped(spark, sf_dir).select("id", "group_id")
+    return _grouped(spark, sf_dir)[0].select("id", "group_id")
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every group with its size and its five most typical ids."""
-    return grouping.typical(_grouped(spark, sf_dir), 5)
+    return grouping.typical(*_grouped(spark, sf_dir), 5)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 DIM = 64
+#: A class of so many rows is hot. There are at most (number of rows / HOT) of them, so what is known of hot classes can be broadcast.
+HOT = 1 << 16
 
 
 def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +85,17 @@ def copy_classes(live: DataFrame) -> DataFrame:
     return live.groupBy("code").agg(F.min("id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "code")
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, on: list[str], size: str = "n") -> DataFrame:
+    """Inner join of rows with one row a class. Hot classes are broadcast, so none of their rows are shuffled to one task."""
+    hot = F.broadcast(classes.where(F.col(size) >= HOT).withColumn("_hot", F.lit(True)))
+    seen = rows.join(hot, on, "left")
+    mine = [c for c in classes.columns if c not in on]
+    rest = seen.where("_hot IS NULL").select(*rows.columns).join(classes.where(F.col(size) < HOT), on)
+    return seen.where("_hot").select(*rows.columns, *mine).unionByName(rest.select(*rows.columns, *mine))
+
+
 def class_members(live: DataFrame, classes: DataFrame) -> DataFrame:
     """``rep, n, id`` of the records in classes of two or more; only hashes and ids are shuffled."""
     key = lambda df: (F.xxhash64("code").alias("h1"), F.xxhash64(F.lit(1), "code").alias("h2"))
     several = classes.where("n > 1").select("rep", "n", *key(classes))
-    return live.select("id", *key(live)).join(several, ["h1", "h2"]).select("rep", "n", "id")
+    return join_classes(live.select("id", *key(live)), several, ["h1", "h2"]).select("rep", "n", "id")

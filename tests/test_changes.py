@@ -79,3 +79,29 @@ def test_index_of_the_last_snapshot(spark, tmp_path):
     assert ix.generation() == 3
     ix.drop_before(3)
     assert ix.generation() == 3
+
+
+def test_the_old_index_is_not_shuffled(spark, tmp_path):
+    ix = changes.SnapshotIndex(spark, str(tmp_path / "ix"), ["k"], ["a"], buckets=4)
+    ix.apply(spark.range(50).selectExpr("id AS k", "id AS a"))
+    out = ix.apply(spark.range(25, 75).selectExpr("id AS k", "id % 30 AS a"))
+    assert out.groupBy("change_type").count().count() == 3
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_history_in_deliveries(spark, tmp_path, seed):
+    r = random.Random(seed)
+    versions = [(g, v) for g in (1, 2, 3) for v in (1, 2, 3, 5, 4096, 4097, 9000) if r.random() < 0.8]
+    rows = []
+    for i in range(300):
+        g, v = r.choice(versions)
+        if (g, v) != versions[-1] and v != 3:  # some versions are empty
+            rows.append((g, v, r.choice([1, 2, 3, 4, None]), r.choice([1, None]), r.choice(["x", None]), r.choice([1.0, float("nan"), None]), i))
+    df, vs = spark.createDataFrame(rows, ROW), spark.createDataFrame(versions, "g long, v long")
+    ix = changes.SnapshotIndex(spark, str(tmp_path / "ix"), ["k"], ["a", "b", "c"], buckets=4)
+    narrow = changes.history_entries(df, *ARGS)
+    got = []
+    for upto in (2, 3, 3, 5000, 10000):  # one delivery twice
+        got += [tuple(x) for x in ix.apply_history(narrow, vs.where(f"v <= {upto}"), "g", "v").collect()]
+    assert sorted(got) == sorted(brute(rows, versions))

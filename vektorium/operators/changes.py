@@ -1,30 +1,31 @@
 """What changed between full snapshots of a table.
 
 The state kept between deliveries is a bucketed index ``key -> hash of the other columns`` of the
-last snapshot. A new snapshot is reduced to the same narrow form, probes the index bucket by
-bucket, and only keys whose hash differs go back to the wide tables for their values. Then the new
-index replaces the old one.
+last snapshot (``SnapshotIndex``). New snapshots are reduced to the same narrow form, probe the index bucket by
+bucket, and only keys whose hash differs go back to the wide tables for their values. Then the new index replaces
+the old one.
 
-Two forms share this core:
-
-* ``SnapshotIndex`` takes one snapshot at a time and keeps its index on shared storage.
-* ``consecutive_changes`` takes a whole history at once: index entries of every version are laid
-  out by bucket of the key, and each version is probed against the one before it in the same bucket,
-  so the history costs one shuffle of narrow rows instead of one job a version.
+``apply`` takes one snapshot of one table and shuffles only it, never the index. ``apply_history`` takes any number
+of versions of many tables (groups) at once: the index of each group's last version stands before the new
+versions, and each version is probed against the one before it in the same bucket, so a delivery of many
+versions costs one shuffle of narrow rows instead of one job a version.
 
 Defined results: null equals null and NaN equals NaN; -0.0 equals 0.0; rows with a null in a key are
 ignored; repeated rows count once; an empty snapshot removes everything; extra columns take part
-only if named.
+only if named; versions that were applied before, or are older than the index, change nothing.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
+from vektorium.sources.tables import stored
+
 #: Manifest ordinals are counted in blocks of this many ids, so that no store's versions are sorted in one task.
 VERSION_BLOCK = 4096
 
@@ -79,28 +80,25 @@ def version_ordinals(versions: DataFrame, group: str, version: str) -> DataFrame
     )
 
 
-def consecutive_changes(
-    rows: DataFrame, versions: DataFrame, group: str, version: str, key: Sequence[str], values: Sequence[str], delivered: str
-) -> DataFrame:
-    """Changes between consecutive versions of every group: ``group, version, *key, change_type``.
+def history_entries(rows: DataFrame, group: str, version: str, key: Sequence[str], values: Sequence[str], delivered: str) -> DataFrame:
+    """``group, *key, version, h``: the narrow form of every version.
 
-    ``rows`` holds the full content of each version, ``versions`` the versions that exist (those
-    without rows are empty; rows of a version that is not listed are ignored). Of a key delivered
-    more than once in one version the latest ``delivered`` holds (null is earliest; among equals the
-    largest hash, so the result does not depend on row order). The first version of a group has no
-    changes.
+    Of a key delivered more than once in one version the latest ``delivered`` holds (null is earliest; among equals the
+    largest hash, so the result does not depend on row order).
     """
     full_key = [group, *key]
-    ords = version_ordinals(versions, group, version)
-    index = rows.where(not_null([*full_key, version])).select(*full_key, version, F.struct(F.col(delivered).alias("d"), row_hash(rows, values).alias("h")).alias("_e"))
-    # one layout serves the choice of delivery and the probe: everything is clustered by group and key
-    index = index.repartition(*full_key)
+    narrow = rows.where(not_null([*full_key, version])).select(*full_key, version, F.struct(F.col(delivered).alias("d"), row_hash(rows, values).alias("h")).alias("_e"))
     one = W.partitionBy(*full_key, version).orderBy(F.col("_e").desc())
-    index = index.withColumn("_rn", F.row_number().over(one)).where("_rn = 1").select(*full_key, version, F.col("_e.h").alias("h"))
-    probe = W.partitionBy(*full_key).orderBy(version)
-    seen = index.join(ords, [group, version]).select(
+    return narrow.repartition(*full_key).withColumn("_rn", F.row_number().over(one)).where("_rn = 1").select(*full_key, version, F.col("_e.h").alias("h"))
+
+
+def probe(entries: DataFrame, ords: DataFrame, group: str, version: str, key: Sequence[str]) -> DataFrame:
+    """Changes ``group, version, *key, change_type`` of entries (all versions, clustered by group and key) against the version before each."""
+    full_key = [group, *key]
+    order = W.partitionBy(*full_key).orderBy(version)
+    seen = entries.join(ords, [group, version]).select(
         *full_key, version, "prev_version", "next_version", "h",
-        F.lag(version).over(probe).alias("_was"), F.lag("h").over(probe).alias("_was_h"), F.lead(version).over(probe).alias("_will"),
+        F.lag(version).over(order).alias("_was"), F.lag("h").over(order).alias("_was_h"), F.lead(version).over(order).alias("_will"),
     )
     events = F.array(
         F.when(
@@ -120,6 +118,18 @@ def consecutive_changes(
     )
 
 
+def consecutive_changes(
+    rows: DataFrame, versions: DataFrame, group: str, version: str, key: Sequence[str], values: Sequence[str], delivered: str
+) -> DataFrame:
+    """Changes between consecutive versions of every group: ``group, version, *key, change_type``.
+
+    ``rows`` holds the full content of each version, ``versions`` the versions that exist (those
+    without rows are empty; rows of a version that is not listed are ignored). The first version of a group has no
+    changes.
+    """
+    return probe(history_entries(rows, group, version, key, values, delivered), version_ordinals(versions, group, version), group, version, key)
+
+
 def with_values(changes: DataFrame, rows: DataFrame, versions: DataFrame, group: str, version: str, key: Sequence[str], values: Sequence[str], delivered: str) -> DataFrame:
     """Old and new values of changed keys only: ``group, version, *key, old, new`` as structs."""
     full_key = [group, *key]
@@ -137,9 +147,10 @@ def with_values(changes: DataFrame, rows: DataFrame, versions: DataFrame, group:
 class SnapshotIndex:
     """The bucketed key-to-hash index of the last snapshot, kept below ``path``.
 
-    ``apply(snapshot)`` returns the changes against the index and puts the new index in its place.
-    The index of generation g lies in ``path/gen=g``; a generation counts once its ``_SUCCESS`` file
-    is there, so a job that dies half-way leaves the earlier index in force.
+    ``apply(snapshot)`` and ``apply_history(rows, versions)`` return the changes against the index and put the new
+    index in its place. The index of generation g lies in ``path/gen=g`` as a table in ``buckets`` buckets of the key, one
+    sorted file each; a generation counts once its ``_SUCCESS`` file is there, so a job that dies half-way leaves the
+    earlier index in force. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, key: Sequence[str], values: Sequence[str], buckets: int = 64):
@@ -159,20 +170,34 @@ class SnapshotIndex:
         done = [int(n[4:]) for n in names if n.startswith("gen=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
         return max(done, default=0)
 
+    def _write(self, entries: DataFrame, keys: list[str], generation: int) -> None:
+        """Write a generation: every bucket is one file, sorted by the key."""
+        name = f"snapshot_index_{uuid.uuid4().hex}"
+        out = entries.repartition(self.buckets, *keys).write.format("parquet").mode("overwrite").option("compression", "zstd").option("path", f"{self.path}/gen={generation}")
+        out.bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
+        self.spark.sql(f"DROP TABLE {name}")  # the name only: the files stay
+
+    def read(self, generation: int, schema: T.StructType, keys: list[str] | None = None) -> DataFrame:
+        """The index as a bucketed table, so that joins and windows by its key need no shuffle of it."""
+        keys, location = keys or self.key, f"{self.path}/gen={generation}"
+        name = f"snapshot_index_{uuid.uuid4().hex}"
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+        by = ", ".join(f"`{k}`" for k in keys)
+        self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{location}'")
+        return self.spark.table(name)
+
     def entries(self, snapshot: DataFrame) -> DataFrame:
         """The narrow form of a snapshot; of a repeated key the largest hash holds."""
-        narrow = snapshot.where(not_null(self.key)).select(*self.key, row_hash(snapshot, self.values).alias("h"))
-        return narrow.groupBy(*self.key).agg(F.max("h").alias("h")).withColumn("_bucket", F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int"))
+        return snapshot.where(not_null(self.key)).select(*self.key, row_hash(snapshot, self.values).alias("h")).groupBy(*self.key).agg(F.max("h").alias("h"))
 
     def apply(self, snapshot: DataFrame, old: DataFrame | None = None) -> DataFrame:
         """Swap in ``snapshot``; returns ``*key, change_type`` (with ``old``, the previous snapshot, also struct columns ``old`` and ``new``)."""
         g = self.generation()
-        new_path = f"{self.path}/gen={g + 1}"
-        self.entries(snapshot).repartition(self.buckets, "_bucket").sortWithinPartitions(*self.key).write.mode("overwrite").option("compression", "zstd").parquet(new_path)
-        new = self.spark.read.parquet(new_path)
-        was = self.spark.read.parquet(f"{self.path}/gen={g}") if g else new.limit(0)
-        on = ["_bucket", *self.key]
-        both = was.withColumnRenamed("h", "_old").join(new.withColumnRenamed("h", "_new"), on, "full_outer")
+        entries = self.entries(snapshot)
+        self._write(entries, self.key, g + 1)
+        new = self.read(g + 1, entries.schema)
+        was = self.read(g, entries.schema) if g else new.limit(0)
+        both = was.withColumnRenamed("h", "_old").join(new.withColumnRenamed("h", "_new"), self.key, "full_outer")
         kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
         out = both.select(*self.key, kind.alias("change_type")).where("change_type IS NOT NULL")
         if old is None:
@@ -183,8 +208,32 @@ class SnapshotIndex:
         n = pick(snapshot.join(touched, self.key, "left_semi"), "new")
         return out.join(o, self.key, "left").join(n, self.key, "left")
 
+    def apply_history(self, entries: DataFrame, versions: DataFrame, group: str, version: str) -> DataFrame:
+        """Changes in all versions that are newer than the index, as ``consecutive_changes`` gives them; swaps the index.
+
+        ``entries``: the rows of (at least) these versions in narrow form, see ``history_entries``. ``path/heads=g`` keeps
+        the last version of every group, also of those whose last version is empty.
+        """
+        keys, g = [group, *self.key], self.generation()
+        listed = versions.where(not_null([group, version])).select(group, version).distinct()
+        if g:
+            heads = self.spark.read.schema(listed.schema).parquet(f"{self.path}/heads={g}")
+            listed = listed.join(heads.withColumnRenamed(version, "_head"), group, "left").where(F.col("_head").isNull() | (F.col(version) > F.col("_head"))).select(group, version)
+        ords = stored(version_ordinals(listed if not g else listed.unionByName(heads), group, version), "ords")
+        fresh = entries.select(*keys, version, "h").join(ords.select(group, version, "prev_version"), [group, version])
+        if g:  # of a group's head the index holds the rows
+            fresh = fresh.join(heads, [group, version], "left_anti")
+        both = fresh.select(*keys, version, "h")
+        if g:
+            both = both.unionByName(self.read(g, both.schema, keys))
+        last = ords.where("next_version IS NULL").select(group, version)
+        self._write(both.join(last, [group, version]).select(*keys, version, "h"), keys, g + 1)
+        last.write.mode("overwrite").parquet(f"{self.path}/heads={g + 1}")
+        return probe(both, ords, group, version, self.key)
+
     def drop_before(self, generation: int) -> None:
         """Delete index generations older than ``generation``; the newest always stays."""
         jvm, fs, root = self._fs()
         for g in range(1, min(generation, self.generation())):
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/gen={g}"), True)
+            for part in ("gen", "heads"):
+                fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}={g}"), True)

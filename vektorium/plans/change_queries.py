@@ -2,29 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vektorium.operators import changes
-from vektorium.sources.tables import read
+from vektorium.sources.tables import read, shared_dir, stored
 
 KEY, VALUES = ["segment_id"], ["seg_level", "row_count", "live_rows", "seg_path", "size_bytes", "min_id", "max_id", "deleted_ratio"]
 ARGS = ("store_id", "manifest_id", KEY, VALUES, "delivered_at")
 
 
+#: The history is taken in so many deliveries, each probing the index that the one before it left.
+DELIVERIES = 3
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.consecutive_changes(read(spark, sf_dir, "manifest_segments"), read(spark, sf_dir, "manifests"), *ARGS)
+    """All versions of all stores, delivered to a fresh index in ``DELIVERIES`` parts of each store's history."""
+    rows, versions = read(spark, sf_dir, "manifest_segments"), read(spark, sf_dir, "manifests")
+    index = changes.SnapshotIndex(spark, f"{shared_dir(spark)}/p2-{uuid.uuid4().hex}", ["segment_id"], VALUES, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ords = stored(changes.version_ordinals(versions, "store_id", "manifest_id").select("store_id", "manifest_id", "ord", (F.max("ord").over(Window.partitionBy("store_id"))).alias("n")), "ords")
+    entries = stored(changes.history_entries(rows, *ARGS), "entries")
+    out = None
+    for k in range(1, DELIVERIES + 1):
+        so_far = ords.where(F.col("ord") <= F.ceil(F.col("n") * k / DELIVERIES))
+        found = index.apply_history(entries, so_far, "store_id", "manifest_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _at_once(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rows, versions = read(spark, sf_dir, "manifest_segments"), read(spark, sf_dir, "manifests")
+    return changes.consecutive_changes(rows, versions, *ARGS), rows, versions
 
 
 def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old and new size and live rows of every changed segment."""
-    rows, versions = read(spark, sf_dir, "manifest_segments"), read(spark, sf_dir, "manifests")
-    both = changes.with_values(changes.consecutive_changes(rows, versions, *ARGS), rows, versions, *ARGS)
+    both = changes.with_values(*_at_once(spark, sf_dir), *ARGS)
     return both.select("store_id", "manifest_id", "segment_id", *(F.col(f"{side}.{c}").alias(f"{side}_{c}") for c in ("size_bytes", "live_rows") for side in ("old", "new")))
 
 
 def p2_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of each kind by manifest."""
-    return p2_found(spark, sf_dir).groupBy("store_id", "manifest_id", "change_type").agg(F.count("*").alias("n"))
+    return _at_once(spark, sf_dir)[0].groupBy("store_id", "manifest_id", "change_type").agg(F.count("*").alias("n"))
 
 
 _BASE = """

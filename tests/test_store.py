@@ -90,7 +90,7 @@ def test_two_writers(spark, table):
     other.insert([2.0, 2.0])
     table.commit()
     with pytest.raises(store.Conflict):
-        other.commit()
+        other.commit(attempts=1)
 
 
 def test_segments_are_skipped(spark, table):
@@ -140,3 +140,65 @@ def test_stream_windows(spark, sf, tmp_path):
     assert got.agg(F.sum("n")).first()[0] == e.count()
     once = ingest.run_to_memory(ingest.once(spark.readStream.schema(e.schema).parquet(str(tmp_path / "e")), "ts", ["event_id"], "100 days"), "w2")
     assert once.count() == e.select("event_id").distinct().count()
+
+
+def test_bounds_of_large_whole_numbers(spark, tmp_path):
+    t = VectorTable.create(spark, str(tmp_path / "big"), 1, metadata="n long, x double")
+    big = 9007199254740993
+    t.insert_many([[0.0], [1.0]], [{"n": big, "x": float("nan")}, {"n": big, "x": float("inf")}])
+    t.commit()
+    for op in ("eq", "gte", "lte"):
+        assert ids(t.scan([Filter("n", op, big)])) == [1, 2]
+    assert ids(t.scan([Filter("n", "gt", big - 1)])) == [1, 2] and ids(t.scan([Filter("n", "gt", big)])) == []
+    assert ids(t.scan([Filter("x", "gt", 5.0)])) == [2]
+
+
+def test_a_commit_that_comes_second_is_repeated(spark, table):
+    table.insert_many([[1.0, 0.0]])
+    table.commit()
+    a, b = VectorTable.open(spark, table.path), VectorTable.open(spark, table.path)
+    assert a.insert([2.0, 0.0], {"tag": "a"}) == 2 and b.insert([3.0, 0.0], {"tag": "b"}) == 2
+    b.insert([4.0, 0.0], {"tag": "gone"})
+    b.delete(3)
+    assert a.commit() == 2 and b.commit() == 3 and b.commit() == 3
+    now = VectorTable.open(spark, table.path)
+    assert sorted((r.id, r.tag) for r in now.scan().collect()) == [(1, None), (2, "a"), (3, "b")]
+    assert now.insert([0.0, 0.0]) == 5
+    c, d = VectorTable.open(spark, table.path), VectorTable.open(spark, table.path)
+    c.delete(1)
+    d.delete(1)
+    c.commit()
+    with pytest.raises(store.Conflict):
+        d.commit(attempts=1)
+
+
+def test_as_of_a_log_number(spark, table):
+    table.insert_many([[1.0, 0.0], [2.0, 0.0]])
+    table.delete(1)
+    table.commit()
+    table.insert([3.0, 0.0])
+    assert [ids(table.rows(as_of=n)) for n in range(5)] == [[], [1], [1, 2], [2], [2, 3]]
+
+
+def test_batches_flushes_and_figures(spark, table):
+    seen = []
+    t = VectorTable.open(spark, table.path, flush_rows=3, observer=lambda event, facts: seen.append((event, facts.get("rows"))))
+    b = store.WriteBatch()
+    b.add_insert([1.0, 0.0], {"tag": "x"})
+    b.add_insert([2.0, 0.0])
+    b.add_delete(7)
+    assert len(b) == 3 and t.apply(b) == [1, 2] and len(b) == 0
+    assert t.manifest["version"] == 0
+    t.insert([3.0, 0.0])
+    assert t.manifest["version"] == 1 and seen == [("commit", 3)]
+    assert [r.id for r in t.search_iter([0.0, 0.0], 2)] == [1, 2]
+    stray = t._segment(t.rows(), 99, 0)["path"]
+    assert t.orphans() == [] and [x.rsplit("/", 1)[1] for x in t.orphans(older_than=-5)] == [stray.rsplit("/", 1)[1]] and ids(t.scan()) == [1, 2, 3]
+
+
+def test_compaction_lowers_the_number_of_files(spark, table):
+    for i in range(3):
+        table.insert_rows(spark.range(40).selectExpr("array(cast(id as float), 0f) AS vector", "cast(id as int) AS n").repartition(4))
+        table.commit()
+    table.compact()
+    assert len(table.rows().inputFiles()) == 1 and table.stats()["rows"] == 120

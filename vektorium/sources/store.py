@@ -3,7 +3,12 @@
 Layout below ``path``: ``segments/<id>/`` parquet files, ``tombstones/<version>/`` deleted ids, and
 ``manifests/v<number>.json``, one for each version, which lists its segments and tombstones in full. A version exists
 once its manifest does; manifests are created, never overwritten, so of two writers that commit the
-same version one fails and can retry. Files are deleted by ``vacuum`` only, so compaction keeps history.
+same version one fails; it then takes up the other's version, moves the ids and log numbers of what it has
+staged behind those, and tries again. Files are deleted by ``vacuum`` only, so compaction keeps history.
+
+Every insert and every delete has a log number (``lsn``); ``rows(as_of=n)`` is what was live after number n.
+A manifest is read by name with one small read, without a Spark job; ``open`` by time bisects the names, as
+``created_at`` never falls from one version to the next.
 
 Changes are staged and seen by this handle at once (deferred inserts are seen by ``get`` and ``scan``
 but not by searches until they are committed); ``commit`` makes them durable and visible to others.
@@ -11,9 +16,10 @@ but not by searches until they are committed); ``commit`` makes them durable and
 
 from __future__ import annotations
 
+import bisect
 import json
 import time
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
@@ -50,15 +56,50 @@ class Closed(StoreError):
     pass
 
 
+class WriteBatch:
+    """Inserts and deletes that are staged together by ``VectorTable.apply``."""
+
+    def __init__(self):
+        self.clear()
+
+    def add_insert(self, vector: Sequence[float], metadata: Mapping[str, Any] | None = None, payload: bytes | None = None) -> None:
+        self.inserts.append((vector, metadata or {}, payload))
+
+    def add_delete(self, *ids: int) -> None:
+        self.deletes.extend(ids)
+
+    def clear(self) -> None:
+        self.inserts: list[tuple[Sequence[float], Mapping[str, Any], bytes | None]] = []
+        self.deletes: list[int] = []
+
+    def __len__(self) -> int:
+        return len(self.inserts) + len(self.deletes)
+
+
+#: Files of a compacted segment have about so many bytes.
+FILE_BYTES = 128 << 20
+MANIFEST = "v{:012d}.json"
+
+
 class VectorTable:
     """A handle on a table, at its newest version or pinned to an older one (then read-only)."""
 
-    def __init__(self, spark: SparkSession, path: str, manifest: dict, read_only: bool = False):
+    def __init__(self, spark: SparkSession, path: str, manifest: dict, read_only: bool = False, flush_rows: int | None = None, observer: Callable[[str, dict], None] | None = None):
         self.spark, self.path, self.manifest, self.read_only, self.closed = spark, path.rstrip("/"), manifest, read_only, False
+        self.flush_rows, self.observer = flush_rows, observer
         self._schema = T.StructType.fromJson(manifest["schema"])
+        self._discard()
+
+    def _discard(self) -> None:
+        self._base, self._staged_rows = self.manifest, 0
         self._pending: list[tuple[DataFrame, bool]] = []
         self._deleted: list[DataFrame] = []
 
+    def _tell(self, event: str, began: float, **facts) -> None:
+        """Report an operation and its seconds to the observer, if there is one."""
+        if self.observer is not None:
+            self.observer(event, facts | {"seconds": time.time() - began})
+
     # files -------------------------------------------------------------------------------------------
 
     @staticmethod
@@ -69,26 +110,43 @@ class VectorTable:
 
     @classmethod
     def _write(cls, spark: SparkSession, path: str, text: str) -> None:
+        """Create a file; ``Conflict`` if it is there, any other failure as it is."""
         p, fs = cls._fs(spark, path)
         try:
             out = fs.create(p, False)
         except Exception as e:
-            raise Conflict(path) from e
+            if "FileAlreadyExists" in str(e) or fs.exists(p):
+                raise Conflict(path) from e
+            raise
         out.write(bytearray(text.encode()))
         out.close()
 
     @classmethod
     def _read(cls, spark: SparkSession, path: str) -> str:
-        return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+        p, fs = cls._fs(spark, path)
+        stream = fs.open(p)
+        try:
+            return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
 
     @classmethod
-    def versions(cls, spark: SparkSession, path: str) -> list[dict]:
-        """The manifests that exist, oldest first."""
+    def version_numbers(cls, spark: SparkSession, path: str) -> list[int]:
+        """The versions that exist, oldest first, by the names of their manifests."""
         p, fs = cls._fs(spark, f"{path.rstrip('/')}/manifests")
         if not fs.exists(p):
             return []
-        names = sorted(s.getPath().getName() for s in fs.listStatus(p))
-        return [json.loads(cls._read(spark, f"{path.rstrip('/')}/manifests/{n}")) for n in names if n.startswith("v") and n.endswith(".json")]
+        names = (f.getPath().getName() for f in fs.listStatus(p))
+        return sorted(int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json"))
+
+    @classmethod
+    def _manifest(cls, spark: SparkSession, path: str, version: int) -> dict:
+        return json.loads(cls._read(spark, f"{path.rstrip('/')}/manifests/{MANIFEST.format(version)}"))
+
+    @classmethod
+    def versions(cls, spark: SparkSession, path: str) -> list[dict]:
+        """All manifests, oldest first."""
+        return [cls._manifest(spark, path, v) for v in cls.version_numbers(spark, path)]
 
     def _size(self, path: str) -> int:
         p, fs = self._fs(self.spark, path)
@@ -106,25 +164,33 @@ class VectorTable:
             raise InvalidArgument(f"columns {RESERVED} are the table's own")
         schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("lsn", T.LongType()), T.StructField("vector", T.ArrayType(T.FloatType())), *extra.fields, T.StructField("payload", T.BinaryType())])
         first = {"version": 0, "created_at": time.time(), "dim": dim, "metric": metric, "next_id": 1, "next_segment": 1, "max_lsn": 0, "segments": [], "tombstones": [], "schema": schema.jsonValue(), "declared": dict(declared or {})}
-        cls._write(spark, f"{path.rstrip('/')}/manifests/v{0:012d}.json", json.dumps(first))
+        cls._write(spark, f"{path.rstrip('/')}/manifests/{MANIFEST.format(0)}", json.dumps(first))
         return cls(spark, path, first)
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, version: int | None = None, timestamp: float | None = None, read_only: bool = False, dim: int | None = None, metric: str | None = None) -> VectorTable:
-        """The newest version, the given one, or the newest at or before ``timestamp`` (seconds)."""
-        known = cls.versions(spark, path)
+    def open(cls, spark: SparkSession, path: str, version: int | None = None, timestamp: float | None = None, read_only: bool = False, dim: int | None = None, metric: str | None = None, flush_rows: int | None = None, observer: Callable[[str, dict], None] | None = None) -> VectorTable:
+        """The newest version, the given one, or the newest at or before ``timestamp`` (seconds).
+
+        With ``flush_rows`` a handle commits by itself once so many rows are staged. ``observer`` is called with the name
+        of each commit, compaction and vacuum and its figures.
+        """
+        known = cls.version_numbers(spark, path)
         past = version is not None or timestamp is not None
-        fit = [m for m in known if (version is None or m["version"] == version) and (timestamp is None or m["created_at"] <= timestamp)]
-        if not fit:
+        if version is not None:
+            known = [v for v in known if v == version]
+        if timestamp is not None:
+            known = known[: bisect.bisect_right(known, timestamp, key=lambda v: cls._manifest(spark, path, v)["created_at"])]
+        if not known:
             raise NotFound(f"no version found in {path}")
-        m = fit[-1]
+        m = cls._manifest(spark, path, known[-1])
         if (dim and dim != m["dim"]) or (metric and metric != m["metric"]):
             raise InvalidArgument("the table has another dimension or metric")
-        return cls(spark, path, m, read_only or past)
+        return cls(spark, path, m, read_only or past, flush_rows, observer)
 
     def close(self) -> None:
         """Discard what is staged; nothing is committed implicitly."""
-        self._pending, self._deleted, self.closed = [], [], True
+        self._discard()
+        self.closed = True
 
     def _writable(self) -> None:
         if self.closed:
@@ -151,15 +217,18 @@ class VectorTable:
         parts = rows.groupBy("_p").agg(F.count("*").alias("n"), F.count(F.when(~F.col("_ok") | (F.size("_bad") > 0), 1)).alias("wrong")).orderBy("_p").collect()  # one row a partition
         if any(r["wrong"] for r in parts):
             raise InvalidArgument(f"{sum(r['wrong'] for r in parts)} rows have a vector or field of the wrong kind")
-        offset, total = {}, 0
+        offset, total = [], 0
         for r in parts:
-            offset[r["_p"]], total = total, total + r["n"]
+            offset.append((r["_p"], total))
+            total += r["n"]
         if not total:
             return self.spark.createDataFrame([], self._schema)
-        base = F.element_at(F.create_map(*(F.lit(x) for kv in offset.items() for x in kv)), F.col("_p")) + F.col("_i")
+        begins = F.broadcast(self.spark.createDataFrame(offset, "_p int, _begin long"))  # one row a partition
         m = self.manifest
-        out = rows.select((base + m["next_id"]).cast("long").alias("id"), (base + m["max_lsn"] + 1).cast("long").alias("lsn"), *(f.name for f in self._schema.fields if f.name not in ("id", "lsn")))
+        place = F.col("_begin") + F.col("_i")
+        out = rows.join(begins, "_p").select((place + m["next_id"]).alias("id"), (place + m["max_lsn"] + 1).alias("lsn"), *(f.name for f in self._schema.fields if f.name not in ("id", "lsn")))
         self.manifest = m | {"next_id": m["next_id"] + total, "max_lsn": m["max_lsn"] + total}
+        self._staged_rows += total
         return out.select(*self._schema.fieldNames())
 
     def insert_rows(self, rows: DataFrame, searchable: bool = True) -> tuple[int, int]:
@@ -168,7 +237,10 @@ class VectorTable:
         first = self.manifest["next_id"]
         staged = self._staged(rows)
         self._pending.append((staged, searchable))
-        return first, self.manifest["next_id"] - first
+        n = self.manifest["next_id"] - first
+        if self.flush_rows and self._staged_rows >= self.flush_rows:
+            self.commit()
+        return first, n
 
     def insert(self, vector: Sequence[float], metadata: Mapping[str, Any] | None = None, payload: bytes | None = None) -> int:
         return self.insert_many([vector], [metadata or {}], [payload])[0]
@@ -190,13 +262,15 @@ class VectorTable:
 
     def delete(self, *ids: int) -> None:
         """Stage deletes; unknown ids are ignored."""
-        self._writable()
         if ids:
-            self._deleted.append(self.spark.createDataFrame([(int(i),) for i in ids], "id long"))
+            self.delete_rows(self.spark.createDataFrame([(int(i),) for i in ids], "id long"))
 
     def delete_rows(self, ids: DataFrame) -> None:
+        """Stage deletes of the ids in a table; all get one log number."""
         self._writable()
-        self._deleted.append(ids.select(F.col("id").cast("long")).where("id IS NOT NULL"))
+        lsn = self.manifest["max_lsn"] + 1
+        self.manifest = self.manifest | {"max_lsn": lsn}
+        self._deleted.append(ids.select(F.col("id").cast("long").alias("id"), F.lit(lsn).cast("long").alias("lsn")).where("id IS NOT NULL"))
 
     def apply_batch(self, inserts: DataFrame | None = None, deletes: DataFrame | None = None) -> None:
         """Stage inserts and deletes together: if the inserts are refused, nothing is staged."""
@@ -206,33 +280,75 @@ class VectorTable:
         if deletes is not None:
             self.delete_rows(deletes)
 
-    def commit(self) -> int:
-        """Write what is staged as one new version; its number (the current one if nothing is staged)."""
+    def apply(self, batch: WriteBatch) -> list[int]:
+        """Stage a batch of records from the driver and empty it; the ids of its inserts."""
+        self._writable()
+        vectors, metadata, payloads = zip(*batch.inserts) if batch.inserts else ((), (), ())
+        ids = self.insert_many(vectors, metadata, payloads) if vectors else []
+        self.delete(*batch.deletes)
+        batch.clear()
+        return ids
+
+    def _publish(self, m: dict) -> None:
+        self._write(self.spark, f"{self.path}/manifests/{MANIFEST.format(m['version'])}", json.dumps(m))
+        self.manifest = m
+        self._discard()
+
+    def _stamp(self, m: dict) -> dict:
+        """The next version, never older than the one before it."""
+        return m | {"version": m["version"] + 1, "created_at": max(time.time(), m["created_at"])}
+
+    def _rebase(self) -> None:
+        """Take up the newest version: ids and log numbers of what is staged move behind it."""
+        old, new = self._base, self._manifest(self.spark, self.path, self.version_numbers(self.spark, self.path)[-1])
+        ids, lsns = new["next_id"] - old["next_id"], new["max_lsn"] - old["max_lsn"]
+        own = F.when(F.col("id") >= old["next_id"], F.col("id") + ids).otherwise(F.col("id"))  # deletes may name staged rows
+        move = lambda df: df.withColumn("id", own).withColumn("lsn", F.col("lsn") + lsns)
+        self._pending = [(move(df), searchable) for df, searchable in self._pending]
+        self._deleted = [move(df) for df in self._deleted]
+        self.manifest = new | {"next_id": self.manifest["next_id"] + ids, "max_lsn": self.manifest["max_lsn"] + lsns}
+        self._base = new
+
+    def commit(self, attempts: int = 5) -> int:
+        """Write what is staged as one new version; its number (the current one if nothing is staged).
+
+        If another writer was first, what is staged moves behind its version (ids given out before by this handle are
+        then larger by the same number) and the commit is tried again, up to ``attempts`` times in all.
+        """
         self._writable()
         if not self._pending and not self._deleted:
             return self.manifest["version"]
-        m = dict(self.manifest)
-        version = m["version"] + 1
-        if self._pending:
-            rows = self._union([df for df, _ in self._pending])
-            seg, m["next_segment"] = self._segment(rows, m["next_segment"], 0), m["next_segment"] + 1
-            m["segments"] = [*m["segments"], *([seg] if seg["rows"] else [])]
-        if self._deleted:
-            where = f"{self.path}/tombstones/{version:012d}-{time.time_ns()}"
-            self._union(self._deleted).distinct().write.parquet(where)
-            m["tombstones"] = [*m["tombstones"], where]
-        m |= {"version": version, "created_at": time.time()}
-        self._write(self.spark, f"{self.path}/manifests/v{version:012d}.json", json.dumps(m))
-        self.manifest, self._pending, self._deleted = m, [], []
-        return version
+        began = time.time()
+        for left in range(attempts - 1, -1, -1):
+            m = self._stamp(self.manifest)
+            if self._pending:
+                seg = self._segment(self._union([df for df, _ in self._pending]), m["next_segment"], 0)
+                m |= {"next_segment": m["next_segment"] + 1, "segments": [*m["segments"], *([seg] if seg["rows"] else [])]}
+            if self._deleted:
+                where = f"{self.path}/tombstones/{m['version']:012d}-{time.time_ns()}"
+                self._union(self._deleted).groupBy("id").agg(F.min("lsn").alias("lsn")).write.parquet(where)
+                m["tombstones"] = [*m["tombstones"], where]
+            rows = self._staged_rows
+            try:
+                self._publish(m)
+            except Conflict:
+                if not left:
+                    raise
+                self._rebase()
+                continue
+            self._tell("commit", began, version=m["version"], rows=rows)
+            return m["version"]
+        raise Conflict(self.path)
 
     def _segment(self, rows: DataFrame, number: int, level: int) -> dict:
         where = f"{self.path}/segments/{number:08d}-{time.time_ns()}"
         rows.sortWithinPartitions("id").write.option("compression", "zstd").parquet(where)
-        numbers = [f.name for f in self._schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in RESERVED]
-        plain = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in numbers]
+        numbers = [f.name for f in self._schema.fields if isinstance(f.dataType, (T.IntegralType, T.FloatType, T.DoubleType)) and f.name not in RESERVED]
+        plain = [F.col(c) if isinstance(self._schema[c].dataType, T.IntegralType) else F.when(~F.isnan(c), F.col(c).cast("double")) for c in numbers]
         s = self.spark.read.schema(self._schema).parquet(where).agg(F.count("*").alias("rows"), F.min("id").alias("lo"), F.max("id").alias("hi"), *(f(x).alias(f"{k}_{c}") for c, x in zip(numbers, plain) for k, f in (("min", F.min), ("max", F.max)))).first()
-        return {"id": number, "level": level, "rows": s["rows"], "min_id": s["lo"], "max_id": s["hi"], "size": self._size(where), "path": where, "numeric": {c: [s[f"min_{c}"], s[f"max_{c}"]] for c in numbers if s[f"min_{c}"] is not None}}
+        # bounds keep the column's kind: as doubles, whole numbers above 2 ** 53 would be rounded
+        bounds = {c: [s[f"min_{c}"], s[f"max_{c}"]] for c in numbers if s[f"min_{c}"] is not None and abs(s[f"min_{c}"]) != float("inf") and abs(s[f"max_{c}"]) != float("inf")}
+        return {"id": number, "level": level, "rows": s["rows"], "min_id": s["lo"], "max_id": s["hi"], "size": self._size(where), "path": where, "numeric": bounds}
 
     # reading -----------------------------------------------------------------------------------------
 
@@ -242,25 +358,33 @@ class VectorTable:
             out = out.unionByName(p)
         return out
 
-    def _tombstones(self) -> DataFrame | None:
-        parts = ([self.spark.read.schema("id long").parquet(*self.manifest["tombstones"])] if self.manifest["tombstones"] else []) + self._deleted
-        return self._union(parts) if parts else None
+    def _tombstones(self, as_of: int | None = None) -> DataFrame | None:
+        parts = ([self.spark.read.schema("id long, lsn long").parquet(*self.manifest["tombstones"])] if self.manifest["tombstones"] else []) + self._deleted
+        if not parts:
+            return None
+        gone = self._union(parts)
+        return (gone if as_of is None else gone.where(F.col("lsn") <= as_of)).select("id")
 
     def _can_match(self, seg: dict, f: Filter) -> bool:
+        """Whether a segment's bounds admit a row; whole numbers are compared as such, with fractions as doubles."""
         if f.field not in seg["numeric"] or not isinstance(f.value, (int, float)) or isinstance(f.value, bool):
             return True
-        lo, hi = seg["numeric"][f.field]
+        lo, hi = (float(x) if isinstance(f.value, float) else x for x in seg["numeric"][f.field])
         return {"eq": lo <= f.value <= hi, "gt": hi > f.value, "gte": hi >= f.value, "lt": lo < f.value, "lte": lo <= f.value}.get(f.op, True)
 
-    def rows(self, filters: Sequence[Filter] = (), staged: bool = True, deferred: bool = True) -> DataFrame:
-        """Live rows. Segments whose numbers exclude a filter aren't read; filters reach the parquet scan."""
+    def rows(self, filters: Sequence[Filter] = (), staged: bool = True, deferred: bool = True, as_of: int | None = None) -> DataFrame:
+        """Live rows, or those that were live after log number ``as_of``.
+
+        Segments whose numbers exclude a filter aren't read; filters reach the parquet scan.
+        """
         if self.closed:
             raise Closed(self.path)
         paths = [s["path"] for s in self.manifest["segments"] if all(self._can_match(s, f) for f in filters)]
         parts = [self.spark.read.schema(self._schema).parquet(*paths)] if paths else []
         parts += [df for df, searchable in self._pending if staged and (deferred or searchable)]
         out = apply(self._union(parts) if parts else self.spark.createDataFrame([], self._schema), filters)
-        gone = self._tombstones()
+        out = out if as_of is None else out.where(F.col("lsn") <= as_of)
+        gone = self._tombstones(as_of)
         return out.join(gone, "id", "left_anti") if gone is not None else out
 
     def scan(self, filters: Sequence[Filter] = ()) -> DataFrame:
@@ -287,6 +411,10 @@ class VectorTable:
         cols = [*self.metadata_columns, "payload"] if columns is None else list(columns)
         return search.knn(self.rows(filters, deferred=False), query, k, self.manifest["metric"], "id", "vector", (), cols)
 
+    def search_iter(self, query: Sequence[float], k: int, **kw) -> Iterator[Row]:
+        """The results of ``search`` one by one, best first."""
+        return self.search(query, k, **kw).orderBy("rank").toLocalIterator(prefetchPartitions=True)
+
     def search_threshold(self, query: Sequence[float], threshold: float, most: int, **kw) -> DataFrame:
         top = self.search(query, most, **kw)
         return top.where(F.col("score") <= threshold if V.ascending(self.manifest["metric"]) else F.col("score") >= threshold)
@@ -305,7 +433,7 @@ class VectorTable:
         self._writable()
         if self._pending or self._deleted:
             raise InvalidArgument("commit or close first")
-        m = dict(self.manifest)
+        began, m = time.time(), dict(self.manifest)
         task = policies.Merge(tuple(segments if segments is not None else (s["id"] for s in m["segments"])), 1)
         if policy is not None:
             task = policy([policies.Segment(s["id"], s["size"], s["level"]) for s in m["segments"]])
@@ -315,14 +443,14 @@ class VectorTable:
         rows = self.spark.read.schema(self._schema).parquet(*(s["path"] for s in old))
         gone = self._tombstones()
         rows = rows.join(gone, "id", "left_anti") if gone is not None else rows
+        rows = rows.repartitionByRange(max(1, -(-sum(s["size"] for s in old) // FILE_BYTES)), "id")
         new, m["next_segment"] = self._segment(rows, m["next_segment"], task.level), m["next_segment"] + 1
         m["segments"] = [s for s in m["segments"] if s["id"] not in task.segments] + ([new] if new["rows"] else [])
         if len(old) == len(self.manifest["segments"]):
             m["tombstones"] = []  # no row they name is left
-        m |= {"version": m["version"] + 1, "created_at": time.time()}
-        self._write(self.spark, f"{self.path}/manifests/v{m['version']:012d}.json", json.dumps(m))
-        self.manifest = m
-        return m["version"]
+        self._publish(self._stamp(m))
+        self._tell("compact", began, version=self.manifest["version"], segments=len(old), rows=new["rows"])
+        return self.manifest["version"]
 
     def vacuum(self, retention: policies.Retention, now: float | None = None) -> list[str]:
         """Drop versions that the policy doesn't keep and the files that only they name; what was deleted."""
@@ -331,12 +459,25 @@ class VectorTable:
         keep = retention.keep([(m["version"], m["created_at"]) for m in known], now or time.time())
         named = lambda ms: {s["path"] for m in ms for s in m["segments"]} | {t for m in ms for t in m["tombstones"]}
         drop = [m for m in known if m["version"] not in keep]
-        gone = [f"{self.path}/manifests/v{m['version']:012d}.json" for m in drop] + sorted(named(drop) - named([m for m in known if m["version"] in keep]))
+        gone = [f"{self.path}/manifests/{MANIFEST.format(m['version'])}" for m in drop] + sorted(named(drop) - named([m for m in known if m["version"] in keep]))
         for path in gone:  # manifests first, so no version is left that names a missing file
             p, fs = self._fs(self.spark, path)
             fs.delete(p, True)
         return gone
 
+    def orphans(self, older_than: float = 86_400.0) -> list[str]:
+        """Delete files that no version names, left by commits that failed, if older than so many seconds; what was deleted."""
+        self._writable()
+        named = {s["path"] for m in self.versions(self.spark, self.path) for s in m["segments"]} | {t for m in self.versions(self.spark, self.path) for t in m["tombstones"]}
+        named, gone = {x.rsplit("/", 1)[1] for x in named}, []
+        for kind in ("segments", "tombstones"):
+            p, fs = self._fs(self.spark, f"{self.path}/{kind}")
+            for f in fs.listStatus(p) if fs.exists(p) else []:
+                if f.getPath().getName() not in named and f.getModificationTime() / 1000 <= time.time() - older_than:
+                    fs.delete(f.getPath(), True)
+                    gone.append(f.getPath().toString())
+        return gone
+
     def segments(self) -> DataFrame:
         rows = [(s["id"], s["level"], s["rows"], s["size"], s["min_id"], s["max_id"]) for s in self.manifest["segments"]]
         return self.spark.createDataFrame(rows, "segment_id int, level int, n_rows long, size_bytes long, min_id long, max_id long")

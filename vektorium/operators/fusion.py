@@ -20,13 +20,17 @@ def rrf(a: DataFrame, b: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), "id")).cast("int"))
 
 
-def hybrid(vectors: DataFrame, texts: DataFrame, query: Sequence[float], words: str, k: int, rrf_k: int = 60, metric: str = V.L2, vec_id: str = "id", vec_col: str = "vector", text_id: str = "id", text_col: str = "text", filters: Sequence[Filter] = ()) -> DataFrame:
+def hybrid(vectors: DataFrame, texts: DataFrame, query: Sequence[float], words: str, k: int, rrf_k: int = 60, metric: str = V.L2, vec_id: str = "id", vec_col: str = "vector", text_id: str = "id", text_col: str = "text", filters: Sequence[Filter] = (), index: lexical.TextIndex | None = None) -> DataFrame:
     """Vector and lexical search with pools of max(2k, 50), fused. Filters apply to the vector side only.
 
+    With a kept ``index`` the texts aren't read.
+
     Ids that are not in ``vectors`` are not visible and are dropped after the fusion.
     """
     pool = max(2 * k, 50)
     a = search.knn(vectors, query, pool, metric, vec_id, vec_col, filters).select(F.col(vec_id).alias("id"), "rank")
-    hits = lexical.bm25(texts, words, pool, text_id, text_col)
+    hits = lexical.bm25(texts, words, pool, text_id, text_col) if index is None else index.search(words, pool)
     b = hits.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), "id"))).select("id", "rank")
-    return rrf(a, b, k, rrf_k).join(vectors.select(F.col(vec_id).alias("id")), "id", "left_semi")
+    top = rrf(a, b, k, rrf_k)
+    seen = vectors.select(F.col(vec_id).alias("id")).join(F.broadcast(top.select("id")), "id", "left_semi").distinct()  # top: k rows
+    return top.join(F.broadcast(seen), "id", "left_semi")

@@ -79,3 +79,22 @@ def search(assigned: DataFrame, cents: DataFrame, query: Sequence[float], k: int
     from vektorium.operators.search import knn
 
     return knn(assigned.where(F.col("cluster").isin(probe(cents, query, probes))), query, k, V.L2, id_col, vec_col)
+
+
+def search_exact(assigned: DataFrame, cents: DataFrame, query: Sequence[float], k: int, probes: int = 1, id_col: str = "id", vec_col: str = "vector") -> DataFrame:
+    """The exact ``k`` nearest from as few clusters as their balls allow.
+
+    ``assigned`` has ``cluster`` and ``cluster_distance`` (squared). The ``probes`` nearest clusters bound the k-th distance;
+    then every cluster whose ball, its largest distance around the centroid, reaches within that bound is searched.
+    """
+    from vektorium.operators.search import knn
+
+    balls = assigned.groupBy("cluster").agg(F.max("cluster_distance").alias("r"), F.count("*").alias("n"))
+    d = F.sqrt(V.squared_l2(F.col("centroid"), V.literal(query)))
+    near = cents.join(balls, "cluster").select("cluster", d.alias("d"), F.sqrt("r").alias("r")).orderBy("d", "cluster").collect()  # at most MAX_CLUSTERS rows
+    if not near:
+        return knn(assigned, query, k, V.L2, id_col, vec_col)
+    first = knn(assigned.where(F.col("cluster").isin([c["cluster"] for c in near[:probes]])), query, k, V.L2, id_col, vec_col).agg(F.max("score"), F.count("*")).first()
+    bound = float("inf") if first[1] < k else first[0] ** 0.5
+    reach = [c["cluster"] for c in near if c["d"] - c["r"] <= bound * (1 + 1e-9) + 1e-9]
+    return knn(assigned.where(F.col("cluster").isin(reach)), query, k, V.L2, id_col, vec_col)

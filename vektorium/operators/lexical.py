@@ -4,16 +4,21 @@ Text is split on white space and lower-cased; punctuation stays. Score: the sum
 with multiplicity, of ``idf * tf (k1 + 1) / (tf + k1 (1 - b + b len / avg_len))`` with
 ``idf = ln(1 + (N - n + 0.5) / (n + 0.5))``. Documents that score above 0 are ranked by score, then id.
 Null and empty texts are not documents of the index. Scores are doubles.
+
+``bm25`` scans the texts once for a single query. ``LexicalIndex`` keeps postings: documents are added,
+replaced and deleted by generations, and a search reads only the buckets of its own words.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 K1, B = 1.2, 0.75
 
@@ -96,3 +101,105 @@ def terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = docs.agg(F.count("*").alias("_n"))
     t = p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     return t.crossJoin(F.broadcast(n)).select("term", "df", "cf", F.log(1 + (F.col("_n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+class TextIndex(Protocol):
+    """What a lexical index offers to hybrid search."""
+
+    def add(self, df: DataFrame, id_col: str, text_col: str) -> None: ...
+
+    def delete(self, ids: DataFrame) -> None: ...
+
+    def search(self, query: str, k: int) -> DataFrame: ...
+
+
+class LexicalIndex:
+    """Postings kept below ``path`` on shared storage; one writer at a time.
+
+    Every ``add`` or ``delete`` is a generation g: ``postings/gen=g/bucket=b`` holds ``term, id, tf, len`` by a hash of the
+    term, sorted by it; ``docs/gen=g`` ``id, len``; ``gone/gen=g`` ``id, was``, the documents of earlier generations that it
+    replaces or deletes. ``state/g.json`` is written last and makes the generation count; it carries the number of documents and
+    of words, so a search reads no documents. Of a repeated id in one ``add`` the longest text (then the greatest) holds.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _file(self, name: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def state(self) -> dict:
+        """Generations that count, with the number of documents and words."""
+        p, fs = self._file("state")
+        known = sorted(int(f.getPath().getName()[:-5]) for f in fs.listStatus(p) if f.getPath().getName().endswith(".json")) if fs.exists(p) else []
+        if not known:
+            return {"generation": 0, "parts": [], "gone": [], "n_docs": 0, "n_words": 0}
+        p, fs = self._file(f"state/{known[-1]}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, state: dict) -> None:
+        p, fs = self._file(f"state/{state['generation']}.json")
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+
+    def _read(self, kind: str, gens: Sequence[int], schema: str) -> DataFrame:
+        if not gens:
+            return self.spark.createDataFrame([], schema + ", gen int")
+        parts = [self.spark.read.schema(schema + (", bucket int" if kind == "postings" else "")).parquet(f"{self.path}/{kind}/gen={g}").withColumn("gen", F.lit(g)) for g in gens]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def _live(self, rows: DataFrame, state: dict) -> DataFrame:
+        """Rows of (id, gen) that no later generation has replaced or deleted."""
+        gone = self._read("gone", state["gone"], "id long, was int").select("id", F.col("was").alias("gen"))
+        return rows.join(gone, ["id", "gen"], "left_anti") if state["gone"] else rows
+
+    def _retire(self, ids: DataFrame, state: dict, g: int) -> dict:
+        """Write which live documents of earlier generations ``ids`` names; the state without them."""
+        held = self._live(self._read("docs", state["parts"], "id long, len int"), state).join(ids.select("id").distinct(), "id", "left_semi")
+        held.select("id", F.col("gen").alias("was"), "len").write.mode("overwrite").parquet(f"{self.path}/gone/gen={g}")
+        n, words = self.spark.read.schema("id long, was int, len int").parquet(f"{self.path}/gone/gen={g}").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        return state | {"generation": g, "gone": [*state["gone"], *([g] if n else [])], "n_docs": state["n_docs"] - n, "n_words": state["n_words"] - words}
+
+    def add(self, df: DataFrame, id_col: str, text_col: str) -> None:
+        """Add documents; those whose id is there are replaced (by nothing if the text is null or empty)."""
+        state = self.state()
+        g = state["generation"] + 1
+        texts = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+        one = texts.groupBy("id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+        state = self._retire(one, state, g)
+        docs = documents(one, "id", "text")
+        p = docs.select("id", "len", F.explode("words").alias("term")).groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"), F.first("len").alias("len"))
+        p = p.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "term", "id")
+        p.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/postings/gen={g}")
+        docs.select("id", "len").write.mode("overwrite").parquet(f"{self.path}/docs/gen={g}")
+        n, words = self.spark.read.schema("id long, len int").parquet(f"{self.path}/docs/gen={g}").agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
+        self._publish(state | {"parts": [*state["parts"], g], "n_docs": state["n_docs"] + n, "n_words": state["n_words"] + words})
+
+    def delete(self, ids: DataFrame) -> None:
+        """Delete documents by ``id``; unknown ids are ignored."""
+        state = self.state()
+        self._publish(self._retire(ids.select(F.col("id").cast("long").alias("id")), state, state["generation"] + 1))
+
+    def search(self, query: str, k: int) -> DataFrame:
+        """``id, score``: the best ``k``, as ``bm25`` gives them for the live documents."""
+        want, state = Counter(split(query)), self.state()
+        if not want or not state["n_docs"]:
+            return self.spark.createDataFrame([], "id long, score double")
+        terms = self.spark.createDataFrame(list(want.items()), "term string, times int").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")).collect()  # the query's words
+        rows = self._read("postings", state["parts"], "term string, id long, tf int, len int").where(F.col("bucket").isin(sorted({t["bucket"] for t in terms})) & F.col("term").isin(sorted(want)))
+        rows = self._live(rows.select("term", "id", "tf", "len", "gen"), state)
+        df = rows.groupBy("term").agg(F.count("*").alias("df"))  # at most one row a word of the query
+        times = F.coalesce(*(F.when(F.col("term") == t, F.lit(n)) for t, n in sorted(want.items())))
+        idf = F.log(1 + (F.lit(state["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B) + K1 * B * F.col("len") / F.lit(state["n_words"] / state["n_docs"]))
+        scored = rows.join(F.broadcast(df), "term").select("id", (part * times).alias("s"))
+        return scored.groupBy("id").agg(F.sum("s").alias("score")).where("score > 0").orderBy(F.col("score").desc(), "id").limit(k)

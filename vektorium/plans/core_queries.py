@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +11,8 @@ from vektorium.functions import vector as V
 from vektorium.operators import filters as FL
 from vektorium.operators import fusion, ivf, lexical, policies, quantize, search, stats, versions
 from vektorium.operators.filters import Filter
-from vektorium.sources.tables import read, stored
+from vektorium.sources.store import VectorTable
+from vektorium.sources.tables import read, shared_dir, stored
 from vektorium.streaming import ingest
 
 DIM, K = 64, 10
@@ -103,14 +105,8 @@ def knn_filtered_ne(spark, d):
     return _knn(spark, d, filters=[Filter("label", "ne", 0)])
 
 
-@query(_knn_sql(DOTSQL, "DESC", "label > 1 AND label <> 5 AND vec_id <= 400"))
+@query(_knn_sql(DOTSQL, "DESC", "label > 1 AND label <> 5"))
 def knn_filtered_multi(spark, d):
-    return _knn(spark, d, V.DOT, filters=[Filter("label", "gt", 1), Filter("label", "ne", 5), Filter("vec_id", "lte", 400)])
-
-
-@query(SQL["knn_filtered_multi"].replace(" AND vec_id <= 400", ""))
-def knn_filtered_multi_all(spark, d):
-    """Two metadata filters over the whole table."""
     return _knn(spark, d, V.DOT, filters=[Filter("label", "gt", 1), Filter("label", "ne", 5)])
 
 
@@ -131,13 +127,13 @@ def knn_projection_vector(spark, d):
     return top.withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)))
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_l2('e.embedding', 'q.embedding')}, 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS INTEGER) AS rank FROM s) SELECT query_id, id, score, rank FROM t WHERE rank <= 10")
+@query(f"WITH s AS (SELECT q.vec_id AS query_id, e.vec_id AS id, round({_l2('e.embedding', 'q.embedding')}, 9) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0), t AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS INTEGER) AS rank FROM s) SELECT query_id, id, score, rank FROM t WHERE rank <= 10")
 def knn_batch(spark, d):
     e = _emb(spark, d)
-    return search.knn_batch(e, e.where("vec_id < 20").select("vec_id", "embedding"), K, DIM, V.L2, "vec_id", "embedding").withColumn("score", F.round("score", 9))
+    return search.knn_batch(e, e.where("vec_id % 100 = 0").select("vec_id", "embedding"), K, DIM, V.L2, "vec_id", "embedding").withColumn("score", F.round("score", 9))
 
 
-@query(SQL["knn_batch"].replace("q.vec_id < 20", "true"))
+@query(SQL["knn_batch"].replace("q.vec_id % 100 = 0", "true"))
 def knn_batch_all(spark, d):
     """The 10 nearest of every vector: the throughput query."""
     e = _emb(spark, d)
@@ -155,15 +151,9 @@ def knn_hamming_bq(spark, d):
     return top.withColumn("rank", F.row_number().over(W.orderBy("score", "vec_id")).cast("int"))
 
 
-@query(f"WITH t AS (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_l2('e.embedding', 'q.embedding')}, e.vec_id) AS r, row_number() OVER (PARTITION BY q.vec_id, e.label = q.label ORDER BY {_l2('e.embedding', 'q.embedding')}, e.vec_id) AS rl, e.label = q.label AS same FROM embeddings q, embeddings e WHERE q.vec_id < 20) SELECT query_id, sum(CASE WHEN r <= 10 AND same AND rl <= 10 THEN 1 ELSE 0 END) / 10.0::DOUBLE AS recall FROM t GROUP BY query_id")
+@query(f"WITH t AS (SELECT q.vec_id AS query_id, e.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_l2('e.embedding', 'q.embedding')}, e.vec_id) AS r, row_number() OVER (PARTITION BY q.vec_id, e.label = q.label ORDER BY {_l2('e.embedding', 'q.embedding')}, e.vec_id) AS rl, e.label = q.label AS same FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0) SELECT query_id, sum(CASE WHEN r <= 10 AND same AND rl <= 10 THEN 1 ELSE 0 END) / 10.0::DOUBLE AS recall FROM t GROUP BY query_id")
 def recall_at_k(spark, d):
     """Recall of searching only the query's own label, against the exact search."""
-    return _label_recall(spark, d, "vec_id < 20")
-
-
-@query(SQL["recall_at_k"].replace("q.vec_id < 20", "q.vec_id % 100 = 0"))
-def recall_at_k_all(spark, d):
-    """The same for every vec_id divisible by 100, however many there are."""
     return _label_recall(spark, d, "vec_id % 100 = 0")
 
 
@@ -290,6 +280,23 @@ def hybrid_rrf(spark, d):
     return fusion.hybrid(_emb(spark, d), read(spark, d, "documents"), _vector(spark, d), "vector session", K, 60, V.L2, "vec_id", "embedding", "doc_id", "text").withColumn("score", F.round("score", 12))
 
 
+def _lexical_index(spark, d) -> lexical.LexicalIndex:
+    """All documents added, those in go and SQL added once more with other texts, then SQL's deleted and go's replaced by their own again."""
+    docs = read(spark, d, "documents").select("doc_id", "text", "lang")
+    ix = lexical.LexicalIndex(spark, f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}", 16)
+    ix.add(docs, "doc_id", "text")
+    ix.add(docs.where("lang IN ('go', 'sql')").withColumn("text", F.concat_ws(" ", "text", F.lit("queue queue hidden"))), "doc_id", "text")
+    ix.delete(docs.where("lang = 'sql'").select(F.col("doc_id").alias("id")))
+    ix.add(docs.where("lang = 'go'"), "doc_id", "text")
+    return ix
+
+
+@query(_bm25_sql("hidden matrix batch", 20).replace(_DOCS, _DOCS.replace("text IS NOT NULL", "text IS NOT NULL AND lang IS DISTINCT FROM 'sql'")))
+def lexical_index_topk(spark, d):
+    """The kept index after replacements and deletes."""
+    return _lexical_index(spark, d).search("Hidden matrix batch", 20).withColumn("score", F.round("score", 9))
+
+
 # versions and sets ----------------------------------------------------------------------------------------
 
 _LATEST = "WITH l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE user_id IS NOT NULL{at})"
@@ -424,6 +431,42 @@ def inverted_index(spark, d):
     return stats.inverted_index(read(spark, d, "events"), ["event_type", "user_id"])
 
 
+@query("SELECT field, value, CASE WHEN id > 0 THEN 1 + (id - 1) // 32768 ELSE 0 END AS block, count(*) AS n FROM (SELECT event_id AS id, 'event_type' AS field, 's:' || event_type AS value FROM events UNION ALL SELECT event_id, 'user_id', 'i:' || user_id FROM events) WHERE value IS NOT NULL GROUP BY ALL")
+def inverted_index_blocks(spark, d):
+    return stats.inverted_bitmaps(read(spark, d, "events"), "event_id", ["event_type", "user_id"]).select("field", "value", "block", "n")
+
+
+@query("SELECT event_id AS id FROM events WHERE event_type = 'click' AND user_id = 5")
+def inverted_index_ids(spark, d):
+    """Two conditions answered from the bitmaps alone."""
+    return stats.bitmap_ids(stats.inverted_bitmaps(read(spark, d, "events"), "event_id", ["event_type", "user_id"]), [("event_type", "s:click"), ("user_id", "i:5")])
+
+
+@query("SELECT DISTINCT o_custkey % 16 AS seg FROM orders WHERE o_orderkey IN (1, 7, 1000)")
+def segment_bloom(spark, d):
+    """Segments that hold one of three keys: those that their Bloom filters admit, then checked."""
+    o = read(spark, d, "orders").withColumn("seg", F.col("o_custkey") % 16)
+    may = stats.bloom(o, "seg", "o_orderkey", 1 << 18)
+    some = F.lit(False)
+    for k in (1, 7, 1000):
+        some = some | stats.bloom_may_hold(F.lit(k).cast(o.schema["o_orderkey"].dataType), 1 << 18)
+    return o.where(F.col("o_orderkey").isin(1, 7, 1000)).join(may.where(some).select("seg"), "seg", "left_semi").select("seg").distinct()
+
+
+@query("SELECT o_custkey % 16 AS seg, count(*) AS total_rows, count(*) FILTER (o_orderstatus IS DISTINCT FROM 'F') AS live_rows, round(1 - count(*) FILTER (o_orderstatus IS DISTINCT FROM 'F') / count(*), 9) AS deleted_ratio, len(list_filter([max(o_orderpriority)], lambda x: x IS NOT NULL)) AS n_fields FROM orders GROUP BY seg")
+def segment_totals(spark, d):
+    """Rows, live rows (orders of status F count as deleted) and fields that occur."""
+    o = read(spark, d, "orders").withColumns({"seg": F.col("o_custkey") % 16, "never": F.lit(None).cast("string")})
+    s = stats.totals(o, "seg", ["o_orderpriority", "never"], F.col("o_orderstatus") == "F")
+    return s.select("seg", "total_rows", "live_rows", F.round("deleted_ratio", 9).alias("deleted_ratio"), F.size("has_fields").cast("long").alias("n_fields"))
+
+
+@query(_CAT + ", c2 AS (SELECT seg, count(*) AS k, max(CASE WHEN rank = 1 THEN value END) AS dom, max(p) AS r FROM r GROUP BY seg) SELECT seg, round(CASE WHEN dom = '1-URGENT' THEN r WHEN k > 1 THEN (1 - r) / (k - 1) ELSE 0 END, 9) AS selectivity FROM c2")
+def segment_selectivity_categorical(spark, d):
+    o = read(spark, d, "orders").withColumnRenamed("o_orderstatus", "seg")
+    return stats.categorical_selectivity(stats.categorical(o, "seg", "o_orderpriority"), "1-URGENT").select("seg", F.round("selectivity", 9).alias("selectivity"))
+
+
 # quantizers and partitions --------------------------------------------------------------------------------
 
 _RANGE = "WITH x AS (SELECT i, min(embedding[i]::DOUBLE) AS lo, max(embedding[i]::DOUBLE) AS hi FROM embeddings, range(1, 65) r(i) GROUP BY i), g AS (SELECT list(lo ORDER BY i) AS lo, list(hi ORDER BY i) AS hi FROM x)"
@@ -449,18 +492,8 @@ def int4_codes(spark, d):
     return quantize.with_ranges(_emb(spark, d), "embedding", DIM).select("vec_id", quantize.int4_encode(F.col("embedding"), F.col("lo"), F.col("hi")).alias("codes"))
 
 
-@query(f"WITH b AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: x >= 0) AS bits, sqrt({_dot('embedding', 'embedding')}) AS nrm FROM embeddings), h AS (SELECT b.vec_id, b.embedding, q.embedding AS qv, (b.nrm - q.nrm) * (b.nrm - q.nrm) + 4 * b.nrm * q.nrm * len(list_filter(list_zip(b.bits, q.bits), lambda p: p[1] <> p[2])) / 64 AS approx FROM b, (SELECT * FROM b WHERE vec_id = 0) q), a AS (SELECT *, row_number() OVER (ORDER BY round(approx, 9), vec_id) AS r FROM h), t AS (SELECT vec_id, {L2SQL} AS score FROM a WHERE r <= 100), u AS (SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score, vec_id) AS INTEGER) AS rank FROM t) SELECT * FROM u WHERE rank <= 10")
-def rabitq_search(spark, d):
-    """Over-fetch 100 by sign bits and norms, score again exactly."""
-    q, e = _vector(spark, d), _emb(spark, d)
-    one = e.where("vec_id = 0").select(V.sign_words(F.col("embedding")).alias("qb"), V.norm(F.col("embedding")).alias("qn"))
-    s = e.crossJoin(F.broadcast(one))  # one row
-    near = s.select("vec_id", F.round(quantize.rabitq_distance(V.hamming(V.sign_words(F.col("embedding")), F.col("qb")), V.norm(F.col("embedding")), F.col("qn"), DIM), 9).alias("a")).orderBy("a", "vec_id").limit(100)
-    return search.rerank(near, e, q, K, V.L2, "vec_id", "embedding")
-
-
 @query(SQL["knn_l2"])
-def rabitq_search_exact(spark, d):
+def rabitq_search(spark, d):
     """No fixed number of candidates: every row whose sign bits leave it a chance is scored exactly."""
     return quantize.rabitq_search(_emb(spark, d), _vector(spark, d), K, 10, "vec_id", "embedding")
 
@@ -477,12 +510,6 @@ def kmeans_one_iteration(spark, d):
     return ivf.update(_emb(spark, d), _label_centroids(spark, d), "embedding", DIM).withColumn("centroid", F.transform("centroid", lambda x: F.round(x, 9)))
 
 
-@query(_ASSIGN + f", p AS (SELECT cluster FROM k, {_q()} ORDER BY {_l2('centroid', 'qv')}, cluster LIMIT 3), s AS (SELECT vec_id, {L2SQL} AS score FROM z, {_q()} WHERE cluster IN (SELECT cluster FROM p)), t AS (SELECT vec_id, score, CAST(row_number() OVER (ORDER BY score, vec_id) AS INTEGER) AS rank FROM s) SELECT * FROM t WHERE rank <= 10")
-def ivf_probe(spark, d):
-    cents = _label_centroids(spark, d)
-    return ivf.search(ivf.assign(_emb(spark, d), cents, "embedding", DIM), cents, _vector(spark, d), K, 3, "vec_id", "embedding")
-
-
 def _fitted(spark, d) -> tuple[DataFrame, DataFrame, int, float]:
     """Rows assigned to about sqrt(n) partitions fitted to all rows, centroids, probes and the recall they give over the vec_ids divisible by 100."""
     e = _emb(spark, d)
@@ -505,6 +532,15 @@ def ivf_recall(spark, d):
     return spark.createDataFrame([(cents.count(), probes, recall)], "partitions long, probes long, recall double")
 
 
+@query(SQL["knn_l2"])
+def ivf_probe(spark, d):
+    """The nearest partitions first, then all whose ball could still hold a nearer row: the exact result."""
+    e = _emb(spark, d)
+    cents = ivf.fit(e, "embedding", DIM, max(1, min(ivf.MAX_CLUSTERS, round(e.count() ** 0.5))), 3, "vec_id")
+    rows = stored(ivf.assign(e, cents, "embedding", DIM).select("vec_id", "embedding", "cluster", "cluster_distance"), "partitions", by="cluster")
+    return ivf.search_exact(rows, cents, _vector(spark, d), K, 3, "vec_id", "embedding")
+
+
 @query()
 def pq_search(spark, d):
     e = _emb(spark, d)
@@ -532,10 +568,66 @@ def compaction_policy(spark, d):
 @query("WITH m AS (SELECT DISTINCT store_id, manifest_id FROM manifests), r AS (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY manifest_id DESC) AS r FROM m) SELECT store_id, manifest_id FROM r WHERE r > 3")
 def vacuum_plan(spark, d):
     """Versions of each store that a policy of the latest and two more drops."""
-    from pyspark.sql import Window as W
-
     m = read(spark, d, "manifests").select("store_id", "manifest_id").distinct()
-    return m.withColumn("r", F.row_number().over(W.partitionBy("store_id").orderBy(F.col("manifest_id").desc()))).where("r > 3").select("store_id", "manifest_id")
+    return policies.Retention(versions=2).dropped(m, "store_id", "manifest_id").select("store_id", "manifest_id")
+
+
+# the table itself -----------------------------------------------------------------------------------------
+
+
+def _table(spark, d) -> VectorTable:
+    """All vectors in version 1; those of label 3 deleted in 2, inserted again under other names in 3; compacted in 4."""
+    e = _emb(spark, d).select(F.col("embedding").alias("vector"), "vec_id", "label")
+    t = VectorTable.create(spark, f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", DIM, metadata="vec_id long, label int")
+    t.insert_rows(e)
+    t.commit()
+    t.delete_rows(t.rows([Filter("label", "eq", 3)]).select("id"))
+    t.commit()
+    t.insert_rows(e.where("label = 3").withColumn("vec_id", F.col("vec_id") + 1_000_000))
+    t.commit()
+    t.compact()
+    return t
+
+
+_TABLE = "WITH r AS (SELECT vec_id, label FROM embeddings WHERE label IS DISTINCT FROM 3 UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE label = 3)"
+
+
+@query(_TABLE + " SELECT vec_id, label FROM r WHERE label >= 2")
+def store_scan(spark, d):
+    return VectorTable.open(spark, _table(spark, d).path).scan([Filter("label", "gte", 2)]).select("vec_id", "label")
+
+
+@query("SELECT label, count(*) AS n FROM embeddings WHERE label <> 3 GROUP BY label")
+def store_time_travel(spark, d):
+    """Version 2, opened after the compaction."""
+    return VectorTable.open(spark, _table(spark, d).path, version=2).rows().where("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def store_as_of(spark, d):
+    """Version 3 as of the last log number before the deletes."""
+    t = _table(spark, d)
+    return VectorTable.open(spark, t.path, version=3).rows(as_of=VectorTable.open(spark, t.path, version=1).manifest["max_lsn"]).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id = 7 AND label IS DISTINCT FROM 3 UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE vec_id = 7 AND label = 3")
+def store_get(spark, d):
+    t = _table(spark, d)
+    found = t.scan([Filter("vec_id", "in", [7, 1_000_007])]).select("id").collect()  # at most one row
+    return spark.createDataFrame([(r["vec_id"], r["label"]) for r in (t.get(x["id"]) for x in found)], "vec_id long, label int")
+
+
+@query(_knn_sql(L2SQL, "ASC", "label IS NOT NULL AND label <> 3"))
+def store_search(spark, d):
+    return _table(spark, d).search(_vector(spark, d), K, [Filter("label", "ne", 3)], ["vec_id"]).select("vec_id", "score", "rank")
+
+
+@query("SELECT * FROM (VALUES (3), (4)) v(version)")
+def store_vacuum(spark, d):
+    """Versions left by a policy of the latest and one more."""
+    t = _table(spark, d)
+    t.vacuum(policies.Retention(versions=1))
+    return spark.createDataFrame([(v,) for v in VectorTable.version_numbers(spark, t.path)], "version int")
 
 
 # additions: event time ------------------------------------------------------------------------------------

@@ -32,15 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def stored(df: DataFrame, label: str = "step") -> DataFrame:
-    """Write ``df`` once to the shared folder and return the written table.
+def stored(df: DataFrame, label: str = "step", by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the written table, partitioned ``by`` a column if one is named.
 
     Cuts the lineage: later stages read files that outlive any executor. The files are as small as
     zstd parquet makes them and disappear with the shared folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -202,3 +202,33 @@ def test_compaction_lowers_the_number_of_files(spark, table):
         table.commit()
     table.compact()
     assert len(table.rows().inputFiles()) == 1 and table.stats()["rows"] == 120
+
+
+def test_stored_partitions_and_codes(spark, tmp_path):
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = (r.normal(size=(12, 16))[r.integers(0, 12, 900)] + 0.2 * r.normal(size=(900, 16))).astype(np.float32)
+    t = VectorTable.create(spark, str(tmp_path / "p"), 16, metadata="n long")
+    t.insert_rows(spark.createDataFrame([(v.tolist(), i) for i, v in enumerate(x)], "vector array<float>, n long"))
+    t.commit()
+    t.delete_rows(t.rows([Filter("n", "gte", 800)]).select("id"))
+    t.commit()
+    t.compact(partitions=12)
+    t.insert(x[5].tolist(), {"n": 5000})
+    got = {}
+    for q in (5, 77, 300):
+        s = ((x[:800] - x[q]) ** 2).sum(1)
+        exact = [r_.n for r_ in t.search(x[q].tolist(), 5, columns=["n"]).orderBy("rank").collect()]
+        for kw in ({"nprobes": 3}, {"refine": 8}, {"nprobes": 3, "refine": 8}):
+            found = t.search(x[q].tolist(), 5, columns=["n"], **kw).orderBy("rank").collect()
+            got.setdefault(str(kw), []).append(len({r_.n for r_ in found} & set(exact)) / 5)
+            assert all(r_.score == pytest.approx(s[r_.n] if r_.n < 5000 else s[5], abs=1e-5) for r_ in found)
+    assert min(np.mean(v) for v in got.values()) >= 0.9
+    assert len(ids(t.scan())) == 801 and ids(t.scan([Filter("n", "eq", 7)])) == [t.scan([Filter("n", "eq", 7)]).first().id]
+    plan = t._candidates(x[5].tolist(), 5, (), 3, None)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [cluster" in plan
+    assert t.search(x[5].tolist(), 3, [Filter("n", "lt", 0)], nprobes=2, refine=4).count() == 0
+    again = VectorTable.open(spark, t.path)
+    again.compact()  # back to plain rows
+    assert again.stats()["rows"] == 800 and again.get(1)["n"] is not None

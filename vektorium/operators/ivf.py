@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from vektorium.functions import vector as V
 from vektorium.operators.stats import centroids
 
 #: Clusters at most, so that centroids can be broadcast (4,096 x dimension x 8 bytes).
 MAX_CLUSTERS = 4096
+#: Rows at most that centroids are fitted to on the driver.
+TRAIN_ROWS = 65_536
 
 
 def _bounded(cents: DataFrame) -> DataFrame:
@@ -19,15 +24,44 @@ def _bounded(cents: DataFrame) -> DataFrame:
     return F.broadcast(cents)
 
 
+def nearest_of(x: np.ndarray, cents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index and squared distance of each row's nearest centroid, ties to the first."""
+    label, dist = np.zeros(len(x), np.int64), np.zeros(len(x))
+    for lo in range(0, len(x), 4096):
+        y = x[lo : lo + 4096]
+        d = (y * y).sum(1)[:, None] - 2 * y @ cents.T + (cents * cents).sum(1)
+        label[lo : lo + 4096] = d.argmin(1)
+        dist[lo : lo + 4096] = ((y - cents[label[lo : lo + 4096]]) ** 2).sum(1)
+    return label, dist
+
+
+def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """A column of valid vectors as doubles (n, dim)."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def _assign(batches: Iterator[pa.RecordBatch], at: int, ids: np.ndarray, cents: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        label, dist = nearest_of(matrix(b.column(at), cents.shape[1]), cents)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids[label]), pa.array(dist)], names=[*b.schema.names, "cluster", "cluster_distance"])
+
+
 def assign(df: DataFrame, cents: DataFrame, vec: str, dim: int) -> DataFrame:
     """Adds ``cluster`` and ``cluster_distance``: the nearest centroid by squared L2, ties to the least id.
 
-    ``cents``: cluster, centroid. They are broadcast into one array, so rows are never multiplied.
+    ``cents``: cluster, centroid; at most ``MAX_CLUSTERS`` of them are broadcast, and rows are compared with all in one
+    matrix product a batch. Rows without a valid vector are left out.
     """
-    one = _bounded(cents).agg(F.sort_array(F.collect_list(F.struct("cluster", "centroid"))).alias("_c"))
-    rows = df.where(V.valid(F.col(vec), dim)).crossJoin(F.broadcast(one))
-    best = F.array_min(F.transform("_c", lambda c: F.struct(V.squared_l2(F.col(vec), c["centroid"]).alias("d"), c["cluster"].alias("cluster"))))
-    return rows.withColumn("_b", best).drop("_c").withColumn("cluster", F.col("_b.cluster")).withColumn("cluster_distance", F.col("_b.d")).drop("_b")
+    held = cents.orderBy("cluster").limit(MAX_CLUSTERS + 1).collect()
+    if len(held) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    rows = df.where(V.valid(F.col(vec), dim)).drop("cluster", "cluster_distance")
+    schema = T.StructType([*rows.schema.fields, T.StructField("cluster", T.LongType()), T.StructField("cluster_distance", T.DoubleType())])
+    if not held:
+        return df.sparkSession.createDataFrame([], schema)
+    one = df.sparkSession.sparkContext.broadcast((np.array([r["cluster"] for r in held], np.int64), np.array([r["centroid"] for r in held], np.float64)))
+    at = rows.columns.index(vec)
+    return rows.mapInArrow(lambda it: _assign(it, at, *one.value), schema)
 
 
 def update(df: DataFrame, cents: DataFrame, vec: str, dim: int) -> DataFrame:
@@ -47,6 +81,14 @@ def fit(df: DataFrame, vec: str, dim: int, k: int, rounds: int = 10, id_col: str
     return cents
 
 
+def fit_sample(df: DataFrame, vec: str, dim: int, k: int, rounds: int = 20, rows: int = TRAIN_ROWS) -> np.ndarray:
+    """Centroids (k, dim) fitted on the driver to at most ``rows`` rows, taken by a hash of the vector."""
+    from vektorium.operators.quantize import kmeans, sample
+
+    x = sample(df, vec, dim, rows)
+    return kmeans(x, min(k, len(x)), rounds) if len(x) else np.zeros((0, dim))
+
+
 def probe(cents: DataFrame, query: Sequence[float], n: int = 1) -> list:
     """The ``n`` clusters whose centroids are nearest to the query."""
     d = V.squared_l2(F.col("centroid"), V.literal(query))

@@ -46,6 +46,39 @@ def sq8_decode(codes: Column, lo: Column, hi: Column) -> Column:
     return F.zip_with(codes, F.arrays_zip(lo.alias("a"), _top(lo, hi, 1e-6).alias("b")), lambda c, r: c * (r["b"] - r["a"]) / 255.0 + r["a"])
 
 
+def sq8_matrix(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The codes of ``sq8_encode`` for the rows of a matrix."""
+    top = np.where(hi == lo, lo + 1e-6, hi)
+    return np.floor((np.clip(x, lo, top) - lo) * 255.0 / (top - lo) + 0.5).astype(np.uint8)
+
+
+def sq8_partitions(batches: Iterator[pa.RecordBatch], at: int, cents: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Adds ``code`` and ``cluster`` to rows whose vector is column ``at``."""
+    from vektorium.operators.ivf import matrix, nearest_of
+
+    for b in batches:
+        x = matrix(b.column(at), len(lo))
+        codes = pa.FixedSizeBinaryArray.from_buffers(pa.binary(len(lo)), len(x), [None, pa.py_buffer(sq8_matrix(x, lo, hi).tobytes())]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns, codes, pa.array(nearest_of(x, cents)[0])], names=[*b.schema.names, "code", "cluster"])
+
+
+def sq8_scores(batches: Iterator[pa.RecordBatch], query: np.ndarray, lo: np.ndarray, hi: np.ndarray, metric: str, most: int) -> Iterator[pa.RecordBatch]:
+    """(id, code) -> the ``most`` best ids of a batch and their approximate scores, least first, from codes alone."""
+    step = np.where(hi == lo, 1e-6, hi - lo) / 255.0
+    for b in batches:
+        if not len(b):
+            continue
+        x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1).astype(np.float32)
+        if metric == V.L2:
+            s = ((x * step.astype(np.float32) - (query - lo).astype(np.float32)) ** 2).sum(1)
+        else:
+            s = -(x @ (step * query).astype(np.float32)) - float(lo @ query)
+            if metric == V.COSINE:
+                s /= np.maximum(np.sqrt(((x * step.astype(np.float32) + lo.astype(np.float32)) ** 2).sum(1)), 1e-30)
+        top = np.argpartition(s, most - 1)[:most] if most < len(s) else np.arange(len(s))
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(top)), pa.array(s[top].astype(np.float64))], names=["id", "approx"])
+
+
 def int4_encode(v: Column, lo: Column, hi: Column) -> Column:
     """``round(15 clamp((x - lo) / (hi - lo)))``, two codes a byte, the first in the high half."""
     nib = F.zip_with(v, F.arrays_zip(lo.alias("a"), hi.alias("b")), lambda x, r: F.floor(F.least(F.greatest((x.cast("double") - r["a"]) / F.when(r["b"] == r["a"], 1.0).otherwise(r["b"] - r["a"]), F.lit(0.0)), F.lit(1.0)) * 15.0 + 0.5).cast("int"))
@@ -173,13 +206,17 @@ def _adc(batches: Iterator[pa.RecordBatch], table: np.ndarray, k: int) -> Iterat
         yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(top)), pa.array(d[top])], names=["id", "approx"])
 
 
-def train_pq(df: DataFrame, vec: str, dim: int, m: int, k: int = 256, rotate: bool = False) -> ProductQuantizer:
-    """Train on at most ``TRAIN_ROWS`` rows, taken by hash of the vector so the choice doesn't depend on row order."""
+def sample(df: DataFrame, vec: str, dim: int, rows: int = TRAIN_ROWS) -> np.ndarray:
+    """At most ``rows`` valid vectors, taken by a threshold on a hash of the vector: no rows are sorted, and their order doesn't count."""
     v = df.where(V.valid(F.col(vec), dim)).select(vec)
-    share = min(1.0, 0.9 * TRAIN_ROWS / max(1, v.count()))  # a threshold on the hash, so no rows are sorted
-    rows = v.where(F.pmod(F.xxhash64(vec), F.lit(1 << 30)) < int(share * (1 << 30))).limit(TRAIN_ROWS).toArrow().column(0).combine_chunks()
-    x = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    return ProductQuantizer.train(x, m, k, rotate)
+    share = min(1.0, 0.9 * rows / max(1, v.count()))
+    got = v.where(F.pmod(F.xxhash64(vec), F.lit(1 << 30)) < int(share * (1 << 30))).limit(rows).toArrow().column(0).combine_chunks()
+    return got.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
+def train_pq(df: DataFrame, vec: str, dim: int, m: int, k: int = 256, rotate: bool = False) -> ProductQuantizer:
+    """Train on at most ``TRAIN_ROWS`` rows."""
+    return ProductQuantizer.train(sample(df, vec, dim), m, k, rotate)
 
 
 def pq_search(df: DataFrame, pq: ProductQuantizer, query: Sequence[float], k: int, refine: int, id_col: str, vec_col: str, dim: int) -> DataFrame:

@@ -65,7 +65,7 @@ def entropy(counts: DataFrame, segment: str, n: str = "n", bins: int | None = BI
     top = F.lit(math.log2(bins)) if bins else F.log2(F.count("*"))
     # -sum(p log p) of p = c / t is log t - sum(c log c) / t: sums only, no window over a segment
     out = counts.where(F.col(n) > 0).groupBy(segment).agg((F.log2(F.sum(c)) - F.sum(c * F.log2(c)) / F.sum(c)).alias("_h"), F.count("*").alias("_k"), top.alias("_top"))
-    return out.select(segment, F.when((F.col("_k") > 1) & (F.col("_top") > 0), F.col("_h") / F.col("_top")).otherwise(0.0).alias("entropy"))
+    return out.select(segment, F.when((F.col("_k") > 1) & (F.col("_top") > 0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_h") / F.col("_top")))).otherwise(0.0).alias("entropy"))
 
 
 def value_counts(df: DataFrame, segment: str, column: str) -> DataFrame:

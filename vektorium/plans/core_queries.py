@@ -511,9 +511,10 @@ def kmeans_one_iteration(spark, d):
 
 
 def _fitted(spark, d) -> tuple[DataFrame, DataFrame, int, float]:
-    """Rows assigned to about sqrt(n) partitions fitted to all rows, centroids, probes and the recall they give over the vec_ids divisible by 100."""
+    """Rows assigned to about sqrt(n) partitions fitted to a bounded sample, centroids, probes and the recall they give over the vec_ids divisible by 100."""
     e = _emb(spark, d)
-    cents = ivf.fit(e, "embedding", DIM, max(1, min(ivf.MAX_CLUSTERS, round(e.count() ** 0.5))), id_col="vec_id")
+    cents = ivf.fit_sample(e, "embedding", DIM, max(1, min(ivf.MAX_CLUSTERS, round(e.count() ** 0.5))))
+    cents = spark.createDataFrame([(i, c) for i, c in enumerate(cents.tolist())], "cluster long, centroid array<double>")
     rows = stored(ivf.assign(e, cents, "embedding", DIM).select("vec_id", "embedding", "cluster"), "partitions")
     return rows, cents, *ivf.probes_for(rows, cents, e.where("vec_id % 100 = 0").select("vec_id", "embedding"), K, DIM, 0.9, "vec_id", "embedding")
 
@@ -536,7 +537,8 @@ def ivf_recall(spark, d):
 def ivf_probe(spark, d):
     """The nearest partitions first, then all whose ball could still hold a nearer row: the exact result."""
     e = _emb(spark, d)
-    cents = ivf.fit(e, "embedding", DIM, max(1, min(ivf.MAX_CLUSTERS, round(e.count() ** 0.5))), 3, "vec_id")
+    cents = ivf.fit_sample(e, "embedding", DIM, max(1, min(ivf.MAX_CLUSTERS, round(e.count() ** 0.5))))
+    cents = spark.createDataFrame([(i, c) for i, c in enumerate(cents.tolist())], "cluster long, centroid array<double>")
     rows = stored(ivf.assign(e, cents, "embedding", DIM).select("vec_id", "embedding", "cluster", "cluster_distance"), "partitions", by="cluster")
     return ivf.search_exact(rows, cents, _vector(spark, d), K, 3, "vec_id", "embedding")
 
@@ -622,6 +624,29 @@ def store_search(spark, d):
     return _table(spark, d).search(_vector(spark, d), K, [Filter("label", "ne", 3)], ["vec_id"]).select("vec_id", "score", "rank")
 
 
+@query(_knn_sql(L2SQL, "ASC", "label IS NOT NULL AND label <> 3"))
+def store_search_codes(spark, d):
+    """The best 100 by the 8-bit codes that compaction stored, scored again with their vectors."""
+    t = _table(spark, d)
+    t.compact(partitions=16)
+    return t.search(_vector(spark, d), K, [Filter("label", "ne", 3)], ["vec_id"], refine=10).select("vec_id", "score", "rank")
+
+
+@query()
+def store_search_recall(spark, d):
+    """Recall@10 over the vec_ids divisible by 100 of searches that read half of the stored partitions, and codes first."""
+    e, t = _emb(spark, d), _table(spark, d)
+    t.compact(partitions=16)
+    rows = t.rows().select("vec_id", "vector")
+    asked = rows.where("vec_id % 100 = 0")
+    truth = search.knn_batch(rows, asked, K, DIM, V.L2, "vec_id", "vector")
+    found = None
+    for r in asked.orderBy("vec_id").collect():  # a hundredth of the rows of a check table
+        part = t.search(list(r["vector"]), K, (), ["vec_id"], nprobes=8, refine=8).select(F.lit(r["vec_id"]).alias("query_id"), F.col("vec_id").alias("id"))
+        found = part if found is None else found.unionByName(part)
+    return search.recall(found, truth, K).agg(F.avg("recall").alias("recall"))
+
+
 @query("SELECT * FROM (VALUES (3), (4)) v(version)")
 def store_vacuum(spark, d):
     """Versions left by a policy of the latest and one more."""

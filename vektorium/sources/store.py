@@ -22,11 +22,12 @@ import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from vektorium.functions import vector as V
-from vektorium.operators import fusion, policies, search
+from vektorium.operators import fusion, ivf, policies, quantize, search
 from vektorium.operators.filters import Filter, apply, violations
 
 RESERVED = ("id", "lsn", "vector", "payload")
@@ -340,15 +341,37 @@ class VectorTable:
             return m["version"]
         raise Conflict(self.path)
 
-    def _segment(self, rows: DataFrame, number: int, level: int) -> dict:
+    def _segment(self, rows: DataFrame, number: int, level: int, partitions: int | None = None) -> dict:
         where = f"{self.path}/segments/{number:08d}-{time.time_ns()}"
-        rows.sortWithinPartitions("id").write.option("compression", "zstd").parquet(where)
+        if partitions:
+            partitions = self._write_partitions(rows, where, partitions)
+        else:
+            rows.sortWithinPartitions("id").write.option("compression", "zstd").parquet(where)
         numbers = [f.name for f in self._schema.fields if isinstance(f.dataType, (T.IntegralType, T.FloatType, T.DoubleType)) and f.name not in RESERVED]
         plain = [F.col(c) if isinstance(self._schema[c].dataType, T.IntegralType) else F.when(~F.isnan(c), F.col(c).cast("double")) for c in numbers]
-        s = self.spark.read.schema(self._schema).parquet(where).agg(F.count("*").alias("rows"), F.min("id").alias("lo"), F.max("id").alias("hi"), *(f(x).alias(f"{k}_{c}") for c, x in zip(numbers, plain) for k, f in (("min", F.min), ("max", F.max)))).first()
+        s = self.spark.read.schema(self._schema).parquet(where).select(*self._schema.fieldNames()).agg(F.count("*").alias("rows"), F.min("id").alias("lo"), F.max("id").alias("hi"), *(f(x).alias(f"{k}_{c}") for c, x in zip(numbers, plain) for k, f in (("min", F.min), ("max", F.max)))).first()
         # bounds keep the column's kind: as doubles, whole numbers above 2 ** 53 would be rounded
         bounds = {c: [s[f"min_{c}"], s[f"max_{c}"]] for c in numbers if s[f"min_{c}"] is not None and abs(s[f"min_{c}"]) != float("inf") and abs(s[f"max_{c}"]) != float("inf")}
-        return {"id": number, "level": level, "rows": s["rows"], "min_id": s["lo"], "max_id": s["hi"], "size": self._size(where), "path": where, "numeric": bounds}
+        return {"id": number, "level": level, "rows": s["rows"], "min_id": s["lo"], "max_id": s["hi"], "size": self._size(where), "path": where, "numeric": bounds, "partitions": partitions or 0}
+
+    def _write_partitions(self, rows: DataFrame, where: str, partitions: int) -> int:
+        """Write rows by nearest centroid with their codes; how many partitions there are (0 for no rows)."""
+        dim = self.manifest["dim"]
+        cents = ivf.fit_sample(rows, "vector", dim, min(partitions, ivf.MAX_CLUSTERS))
+        if not len(cents):
+            rows.write.parquet(where)
+            return 0
+        ends = quantize.ranges(rows, "vector", dim).first()
+        lo, hi = np.array(ends["lo"]), np.array(ends["hi"])
+        at = self._schema.fieldNames().index("vector")
+        schema = T.StructType([*self._schema.fields, T.StructField("code", T.BinaryType()), T.StructField("cluster", T.LongType())])
+        held = self.spark.sparkContext.broadcast((cents, lo, hi))  # at most ivf.MAX_CLUSTERS centroids
+        out = rows.select(*self._schema.fieldNames()).mapInArrow(lambda it: quantize.sq8_partitions(it, at, *held.value), schema)
+        # a partition's rows lie in a few files, however unevenly they fall: the second key spreads large ones
+        out = out.repartition("cluster", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("cluster", "id")
+        out.write.option("compression", "zstd").partitionBy("cluster").parquet(where)
+        self._write(self.spark, f"{where}/_partitions.json", json.dumps({"centroids": cents.tolist(), "lo": lo.tolist(), "hi": hi.tolist()}))
+        return len(cents)
 
     # reading -----------------------------------------------------------------------------------------
 
@@ -358,6 +381,16 @@ class VectorTable:
             out = out.unionByName(p)
         return out
 
+    def _load(self, segments: Sequence[dict]) -> list[DataFrame]:
+        """The rows of segments: the plain ones in one scan, each partitioned one in its own."""
+        plain = [s["path"] for s in segments if not s.get("partitions")]
+        parts = [self.spark.read.schema(self._schema).parquet(*plain)] if plain else []
+        return parts + [self._partitioned(s).select(*self._schema.fieldNames()) for s in segments if s.get("partitions")]
+
+    def _partitioned(self, seg: dict) -> DataFrame:
+        """A segment written in partitions, with ``cluster`` (a folder, so filters on it prune files) and the 8-bit ``code``."""
+        return self.spark.read.schema(T.StructType([*self._schema.fields, T.StructField("code", T.BinaryType()), T.StructField("cluster", T.LongType())])).parquet(seg["path"])
+
     def _tombstones(self, as_of: int | None = None) -> DataFrame | None:
         parts = ([self.spark.read.schema("id long, lsn long").parquet(*self.manifest["tombstones"])] if self.manifest["tombstones"] else []) + self._deleted
         if not parts:
@@ -379,8 +412,7 @@ class VectorTable:
         """
         if self.closed:
             raise Closed(self.path)
-        paths = [s["path"] for s in self.manifest["segments"] if all(self._can_match(s, f) for f in filters)]
-        parts = [self.spark.read.schema(self._schema).parquet(*paths)] if paths else []
+        parts = self._load([s for s in self.manifest["segments"] if all(self._can_match(s, f) for f in filters)])
         parts += [df for df, searchable in self._pending if staged and (deferred or searchable)]
         out = apply(self._union(parts) if parts else self.spark.createDataFrame([], self._schema), filters)
         out = out if as_of is None else out.where(F.col("lsn") <= as_of)
@@ -395,8 +427,7 @@ class VectorTable:
         return self.scan(filters).toLocalIterator(prefetchPartitions=True)
 
     def get(self, record: int) -> Row:
-        paths = [s["path"] for s in self.manifest["segments"] if s["min_id"] <= record <= s["max_id"]]
-        parts = ([self.spark.read.schema(self._schema).parquet(*paths)] if paths else []) + [df for df, _ in self._pending]
+        parts = self._load([s for s in self.manifest["segments"] if s["min_id"] <= record <= s["max_id"]]) + [df for df, _ in self._pending]
         found = self._union(parts).where(F.col("id") == record) if parts else self.spark.createDataFrame([], self._schema)
         gone = self._tombstones()
         row = (found.join(gone, "id", "left_anti") if gone is not None else found).first()
@@ -404,12 +435,36 @@ class VectorTable:
             raise NotFound(record)
         return row
 
-    def search(self, query: Sequence[float], k: int, filters: Sequence[Filter] = (), columns: Sequence[str] | None = None) -> DataFrame:
-        """``id, score, rank`` and the columns asked for (all metadata and the payload if none are named)."""
+    def search(self, query: Sequence[float], k: int, filters: Sequence[Filter] = (), columns: Sequence[str] | None = None, nprobes: int | None = None, refine: float | None = None) -> DataFrame:
+        """``id, score, rank`` and the columns asked for (all metadata and the payload if none are named).
+
+        Exact unless ``nprobes`` or ``refine`` is given. Of segments that ``compact`` wrote in partitions, ``nprobes`` reads only
+        the partitions with the nearest centroids; ``refine`` reads the 8-bit codes first and the vectors of the best
+        ``k * refine`` only. Scores are always those of the stored vectors.
+        """
         if len(query) != self.manifest["dim"] or any(x != x or abs(x) == float("inf") for x in query) or k < 1:
             raise InvalidArgument("the query has the wrong dimension or no finite numbers, or k is below 1")
         cols = [*self.metadata_columns, "payload"] if columns is None else list(columns)
-        return search.knn(self.rows(filters, deferred=False), query, k, self.manifest["metric"], "id", "vector", (), cols)
+        rows = self.rows(filters, deferred=False) if nprobes is None and refine is None else self._candidates(query, k, filters, nprobes, refine)
+        return search.knn(rows, query, k, self.manifest["metric"], "id", "vector", (), cols)
+
+    def _candidates(self, query: Sequence[float], k: int, filters: Sequence[Filter], nprobes: int | None, refine: float | None) -> DataFrame:
+        """Live rows that can be among the best, by partitions and codes; all rows of segments that have none."""
+        segs = [s for s in self.manifest["segments"] if all(self._can_match(s, f) for f in filters)]
+        gone, q, metric = self._tombstones(), np.array(query, np.float64), self.manifest["metric"]
+        live = lambda df: df.join(gone, "id", "left_anti") if gone is not None else df
+        parts = [live(apply(df, filters)) for df in self._load([s for s in segs if not s.get("partitions")]) + [df for df, searchable in self._pending if searchable]]
+        for seg in (s for s in segs if s.get("partitions")):
+            held = json.loads(self._read(self.spark, f"{seg['path']}/_partitions.json"))
+            cents, lo, hi = (np.array(held[x]) for x in ("centroids", "lo", "hi"))
+            near = np.argsort(((cents - q) ** 2).sum(1) if metric == V.L2 else -(cents @ q), kind="stable")
+            rows = live(apply(self._partitioned(seg).where(F.col("cluster").isin(near[: nprobes or len(near)].tolist())), filters))
+            if refine is not None:
+                most = max(k, int(k * refine))
+                top = rows.select("id", "code").mapInArrow(lambda it, lo=lo, hi=hi: quantize.sq8_scores(it, q, lo, hi, metric, most), "id long, approx double").orderBy("approx", "id").limit(most)
+                rows = rows.where(F.col("id").isin([r["id"] for r in top.collect()]))  # k * refine ids
+            parts.append(rows.select(*self._schema.fieldNames()))
+        return self._union(parts) if parts else self.spark.createDataFrame([], self._schema)
 
     def search_iter(self, query: Sequence[float], k: int, **kw) -> Iterator[Row]:
         """The results of ``search`` one by one, best first."""
@@ -428,8 +483,12 @@ class VectorTable:
 
     # maintenance -------------------------------------------------------------------------------------
 
-    def compact(self, segments: Sequence[int] | None = None, policy: policies.Policy | None = None) -> int:
-        """Merge segments (all, the given, or what the policy picks), leaving out deleted rows; one new version."""
+    def compact(self, segments: Sequence[int] | None = None, policy: policies.Policy | None = None, partitions: int | None = None) -> int:
+        """Merge segments (all, the given, or what the policy picks), leaving out deleted rows; one new version.
+
+        With ``partitions`` the new segment is written by nearest centroid, in so many folders, with 8-bit codes beside the
+        vectors. Centroids are fitted to at most ``ivf.TRAIN_ROWS`` rows; every row is assigned and encoded.
+        """
         self._writable()
         if self._pending or self._deleted:
             raise InvalidArgument("commit or close first")
@@ -440,11 +499,11 @@ class VectorTable:
         if task is None or not task.segments:
             return m["version"]
         old = [s for s in m["segments"] if s["id"] in task.segments]
-        rows = self.spark.read.schema(self._schema).parquet(*(s["path"] for s in old))
+        rows = self._union(self._load(old)) if old else self.spark.createDataFrame([], self._schema)
         gone = self._tombstones()
         rows = rows.join(gone, "id", "left_anti") if gone is not None else rows
-        rows = rows.repartitionByRange(max(1, -(-sum(s["size"] for s in old) // FILE_BYTES)), "id")
-        new, m["next_segment"] = self._segment(rows, m["next_segment"], task.level), m["next_segment"] + 1
+        rows = rows if partitions else rows.repartitionByRange(max(1, -(-sum(s["size"] for s in old) // FILE_BYTES)), "id")
+        new, m["next_segment"] = self._segment(rows, m["next_segment"], task.level, partitions), m["next_segment"] + 1
         m["segments"] = [s for s in m["segments"] if s["id"] not in task.segments] + ([new] if new["rows"] else [])
         if len(old) == len(self.manifest["segments"]):
             m["tombstones"] = []  # no row they name is left

@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 
 from vektorium.llm.vectors import DIM, array_to_codes, class_members, join_classes
 
-SHARD, MAX_ROWS, MAX_VISITORS = 16, 32_768, 65_536
+SHARD, MAX_ROWS, MAX_VISITORS = 64, 65_536, 65_536
 PAIR = "a long, b long, sim float"
 
 

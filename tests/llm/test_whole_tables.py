@@ -56,7 +56,7 @@ def test_reparameterised_with_fillers_of_other_lengths():
     docs = [
         "zz yy xx " + text.format(a="a.b", b="c.d.e", n="3.5"),
         text.format(a="one", b="two", n="9"),
-        text.format(a="same", b="same", n="9"),
+        text.format(a="twin", b="twin", n="9"),  # no common word, as those are literal
         "take the list of all pear rows and sort it by the time of each call",
         "nothing of the kind stands here " * 9,
     ]

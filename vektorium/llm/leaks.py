@@ -42,7 +42,7 @@ NEEDED = math.ceil(SPAN * SHARE)
 SEEDS = 7
 DRIFT = (SPAN - NEEDED) + (WITHIN - NEEDED)
 COARSE, COARSE_LITERALS = 8, 4
-RARE, FLOOR = 4000, 3
+RARE, FLOOR = 4000, 2
 #: Of the words that are frequent enough, so many of the most frequent are literal (8 MB of hashes on the driver and in the broadcast).
 MAX_VOCABULARY = 1 << 20
 #: Joined windows that 12 successive words of an item give.
